@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from .common import new_path
 
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 
 
 def record_size(text: Column) -> Column:
@@ -72,12 +72,13 @@ def shuffle_shards(records: DataFrame, shards: int = 8, seed: int = 7, key_cols:
         table = pa.Table.from_batches(held)
         held.clear()
         b = TaskContext.get().partitionId()
-        table = table.take(pc.sort_indices(table, sort_keys=[(k, "ascending") for k in keys]))
-        table = table.take(pa.array(fisher_yates(table.num_rows, (seed, b))))
-        at = int(begins[b]) + np.arange(table.num_rows)
-        shard = np.searchsorted(edges, at, side="right") - 1
-        out = table.append_column("_shard", pa.array(shard.astype(np.int32))).append_column("_slot", pa.array(at - edges[shard]))
-        yield from out.to_batches(max_chunksize=2_000)
+        order = pc.sort_indices(table, sort_keys=[(k, "ascending") for k in keys]).to_numpy()
+        order = order[fisher_yates(len(order), (seed, b))]
+        for k in range(0, len(order), 256):  # a copy of 256 rows at a time
+            rows = table.take(pa.array(order[k : k + 256]))
+            at = int(begins[b]) + k + np.arange(rows.num_rows)
+            shard = np.searchsorted(edges, at, side="right") - 1
+            yield from rows.append_column("_shard", pa.array(shard.astype(np.int32))).append_column("_slot", pa.array(at - edges[shard])).combine_chunks().to_batches()
 
     schema = T.StructType([*records.schema.fields, T.StructField("_shard", T.IntegerType()), T.StructField("_slot", T.LongType())])
     scattered = records.withColumn("_bucket", bucket).repartitionById(buckets, F.col("_bucket")).drop("_bucket")
