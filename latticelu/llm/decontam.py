@@ -7,14 +7,17 @@ those of training documents by hash.  Around each hit the two texts are compared
 by word, and the hit stands if some window of `window` words (or the whole item, if
 shorter) that holds the seed agrees in at least `similarity` of its words.
 
-Seeds of documents are made, hashed and looked up within one generated-code stage: the
-words of a document never leave its row.  Test items are broadcast while their seed table is
-proven to be at most `broadcast_rows` rows; beyond that, seeds are shuffled as small
-(hash, document, position) rows, and the words join later for the rows that hit.
+A document's seeds are computed inside its row; what leaves it are small rows (document,
+position, seed).  Those that meet a test item bring the document's words back, for that
+document alone, and the windows around its hits are compared.  The table of test seeds is
+broadcast while it is proven to have at most `broadcast_rows` rows; beyond that both
+sides are shuffled by seed, and adaptive execution splits hot seeds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,65 +30,81 @@ SIMILARITY = 0.8
 
 
 def words(text: Column) -> Column:
-    """Lower-case words of letters and digits; null text gives an empty list."""
-    clean = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\s]+", "")
-    return F.filter(F.split(clean, r"\s+"), lambda w: w != "")
+    """Lower-case words of letters and digits; a text without any gives one empty word."""
+    return F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), " ")
+
+
+def _mask_seeds(w: Column, k: int, mask: str) -> Column:
+    """One hash for each position at which the mask fits."""
+    read = [i for i, c in enumerate(mask) if c == "1"]
+    last = F.size(w) - len(mask)
+    each = F.transform(F.sequence(F.lit(0), last), lambda at: F.xxhash64(F.lit(k), *[F.get(w, at + i) for i in read]))
+    return F.when(last >= 0, each).otherwise(F.array().cast("array<bigint>"))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _seed(of: Column, at: Column, mask: int, masks: tuple[str, ...]) -> Column:
-    """Hash of the words that a mask reads at a 0-based position."""
-    read = [F.get(of, at + k) for k, c in enumerate(masks[mask]) if c == "1"]
-    return F.xxhash64(F.lit(mask), *read)
+def _seeds(rows: DataFrame, key: str, text: str, masks: tuple[str, ...]) -> DataFrame:
+    """(key, at, seed) for every mask at every position it fits in each row's text."""
 
+    def made(w: Column) -> Column:
+        begins, begin = [], F.lit(0)
+        for m in masks:
+            begins.append(begin)
+            begin = begin + F.greatest(F.size(w) - len(m) + 1, F.lit(0))
+        return F.struct(F.array(*begins).alias("begins"), F.concat(*[_mask_seeds(w, k, m) for k, m in enumerate(masks)]).alias("seeds"))
 
-def _seeds(rows: DataFrame, keep: list[str], masks: tuple[str, ...]) -> DataFrame:
-    """Columns `keep`, w, and (at, seed) for every mask at every position it fits."""
-    most = min(map(len, masks))
-    at = rows.filter(F.size("w") >= most).select(*keep, "w", F.explode(F.sequence(F.lit(0), F.size("w") - most)).alias("at"))
-    each = at.select(*keep, "w", "at", F.explode(F.array(*[F.when(F.col("at") + len(m) <= F.size("w"), _seed(F.col("w"), F.col("at"), k, masks)) for k, m in enumerate(masks)])).alias("seed"))
-    return each.filter("seed is not null")
+    flat = rows.select(key, _let(words(F.col(text)), made).alias("made"))
+    flat = flat.select(key, F.col("made.begins").alias("begins"), F.posexplode("made.seeds").alias("p", "seed"))
+    at = F.col("p")
+    for k in range(1, len(masks)):
+        begin = F.get("begins", F.lit(k))
+        at = F.when(F.col("p") >= begin, F.col("p") - begin).otherwise(at)
+    return flat.select(key, at.alias("at"), "seed")
 
 
 def _agrees(doc: Column, item: Column, at: Column, q: Column, window: int, similarity: float) -> Column:
     """Whether a window around the hit (document word `at`, item word `q`) agrees enough."""
     need = F.least(F.lit(window), F.size(item))
     left = F.least(at, q, F.lit(window - 1))
-    begin_d, begin_q = at - left, q - left
-    length = F.least(left + window, F.size(doc) - begin_d, F.size(item) - begin_q)
-    same = F.zip_with(F.slice(doc, begin_d + 1, length), F.slice(item, begin_q + 1, length), lambda x, y: F.when(x == y, 1).otherwise(0))
+    length = F.least(left + window, F.size(doc) - at + left, F.size(item) - q + left)
+    same = F.zip_with(F.slice(doc, at - left + 1, length), F.slice(item, q - left + 1, length), lambda x, y: F.when(x == y, 1).otherwise(0))
     limit = F.ceil(need * F.lit(similarity) - F.lit(1e-9))
 
-    def good(start: Column) -> Column:
-        return F.aggregate(F.slice(same, start, need), F.lit(0), lambda s, v: s + v) >= limit
+    def some_window(x: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(x["same"]) - x["need"] + 1, F.lit(1)))
+        return F.exists(starts, lambda s: F.aggregate(F.slice(x["same"], s, x["need"]), F.lit(0), lambda n, v: n + v) >= x["limit"])
 
-    return (length >= need) & F.exists(F.sequence(F.lit(1), F.greatest(length - need + 1, F.lit(1))), good)
+    return _let(F.struct(same.alias("same"), need.alias("need"), limit.alias("limit")), lambda x: (F.size(x["same"]) >= x["need"]) & some_window(x))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, window: int = WINDOW, similarity: float = SIMILARITY, broadcast_rows: int = 100_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, window: int = WINDOW, similarity: float = SIMILARITY, broadcast_rows: int = 100_000, broadcast_ids: int = 1_000_000) -> DataFrame:
     """(doc_id, item_id, hits): documents that hold a passage of a test item.
 
     hits counts the seeds whose surroundings agree.  Null, empty and too short texts hold
     nothing: an item of fewer words than the shortest mask is never found.  A null id is a
-    value like others.  Repeated rows count together.  Either table may be empty.  Items longer
-    than the window are found by any part of `window` words.
+    value like others.  A repeated row adds no hits.  Either table may be empty.  Items longer than
+    the window are found by any part of `window` words.
     """
-    tests = benchmark.select(F.col(item_col).alias("item_id"), words(F.col(item_text_col)).alias("w"))
-    seeds = materialize(_seeds(tests, ["item_id"], masks), "test-seeds")
-    docs = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
-    found = _seeds(docs, ["doc_id"], masks)
-    # bound: rows, and each row's words
-    size = seeds.agg(F.count("*").alias("n"), F.sum(F.size("w")).alias("words")).first()
-    table = seeds.select(F.col("item_id"), F.col("w").alias("item"), F.col("at").alias("q"), F.col("seed"))
-    if size["n"] <= broadcast_rows and (size["words"] or 0) <= 100 * broadcast_rows:
-        hits = found.join(F.broadcast(table), "seed")
-    else:
-        # several documents share hot seeds: an equi-join that adaptive execution can split
-        places = found.select("doc_id", "at", "seed").join(table.select("item_id", "q", "seed"), "seed")
-        places = places.select("doc_id", "at", "item_id", "q").distinct()
-        whole = docs.join(places.select(F.col("doc_id").alias("d")).distinct(), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
-        items = seeds.select("item_id", F.col("w").alias("item")).distinct()
-        hits = places.join(whole.distinct().withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d"))).drop("d")
-        hits = hits.join(items.withColumnRenamed("item_id", "i"), F.col("item_id").eqNullSafe(F.col("i"))).drop("i")
+    tests = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("item"))
+    table = materialize(_seeds(tests, "item_id", "item", masks).withColumnRenamed("at", "q"), "test-seeds")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    seeds = _seeds(texts, "doc_id", "text", masks)
+    small = table.count() <= broadcast_rows
+    places = seeds.join(F.broadcast(table) if small else table, "seed")
+    places = materialize(places.select("doc_id", "at", "item_id", "q").distinct(), "places")
+    found = places.select(F.col("doc_id").alias("d")).distinct()
+    # ids alone are broadcast, 8 bytes each, if proven few; else texts are shuffled by id
+    found = F.broadcast(found) if found.count() <= broadcast_ids else found
+    few = texts.join(found, F.col("doc_id").eqNullSafe(F.col("d")), "left_semi").distinct()
+    # stored, so that a text is split once and not for each of its hits
+    few = materialize(few.select(F.col("doc_id").alias("d"), words(F.col("text")).alias("w")), "hit-texts")
+    hits = places.join(few, F.col("doc_id").eqNullSafe(F.col("d"))).drop("d")
+    items = materialize(tests.distinct().select(F.col("item_id").alias("i"), words(F.col("item")).alias("item")), "test-texts")
+    hits = hits.join(items, F.col("item_id").eqNullSafe(F.col("i"))).drop("i")
     hits = hits.filter(_agrees(F.col("w"), F.col("item"), F.col("at"), F.col("q"), window, similarity))
     return hits.select("doc_id", "item_id", "at", "q").distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("hits"))
 
@@ -93,4 +112,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """`docs` without those that contamination() finds; rows with a null id that hold a passage go too."""
     bad = materialize(contamination(docs, benchmark, id_col, **options).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+    bad = F.broadcast(bad) if bad.count() <= options.get("broadcast_ids", 1_000_000) else bad
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
