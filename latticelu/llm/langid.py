@@ -91,9 +91,13 @@ def _k_means(x: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = 400, max_languages: int = 64, centroids: int = 4, seed: int = 11) -> Centroids:
     """Fit on rows with a text and a label; others, and an empty table, add nothing."""
     rows = labelled.filter(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
-    names = [r[0] for r in rows.groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(max_languages).collect()]
-    order = Window.partitionBy(label_col).orderBy(F.xxhash64(F.lit(seed), id_col), id_col)
-    ids = rows.filter(F.col(label_col).isin(names)).select(id_col, label_col).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language)
+    counts = rows.groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(max_languages).collect()
+    # a uniform hash of the id, cut so that about twice per_language rows of each language stay before they are ranked
+    place = F.xxhash64(F.lit(seed), id_col)
+    chance = F.coalesce(*[F.when(F.col(label_col) == name, F.lit(min(1.0, 2 * per_language / n + 64 / n))) for name, n in counts], F.lit(0.0))
+    drawn = rows.select(id_col, label_col).filter(place / F.lit(2.0**64) + 0.5 < chance)
+    order = Window.partitionBy(label_col).orderBy(place, id_col)
+    ids = drawn.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language)
     # at most per_language * max_languages ids: a proven bound
     few = rows.join(F.broadcast(ids.select(F.col(id_col).alias("_id")).distinct()), F.col(id_col) == F.col("_id"), "left_semi")
 
