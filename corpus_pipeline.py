@@ -10,26 +10,24 @@ from latticelu.llm.common import materialize, read
 from latticelu.llm.queries import tokenizer_path
 from latticelu.shipping import ship
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents that it rejects go.  Fitted on the stage's own labelled rows."""
     ship(spark)
     model = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))
-    return langid.identify(docs, model).filter(~F.col("lang_rejected")).select(*COLUMNS)
+    return docs.filter(~langid.predict(spark, model, F.col("text"))["lang_rejected"])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash near-dedup: one document of each group stays."""
     ship(spark)
-    return simhash.deduplicate(docs).select(*COLUMNS)
+    return simhash.deduplicate(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents that hold a test passage go."""
     ship(spark)
-    return decontam.decontaminate(docs, read(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    return decontam.decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -138,27 +138,35 @@ def classify(text: str | None, model: Centroids) -> tuple[str, float]:
     return model.languages[best], min(1.0, max(0.0, round(float(near[best]), 6)))
 
 
-def identify(docs: DataFrame, model: Centroids, text_col: str = "text", max_distance: float = 0.95) -> DataFrame:
-    """`docs` plus lang_pred, lang_score (cosine) and lang_rejected.
+def predict(spark: SparkSession, model: Centroids, text: Column, max_distance: float = 0.95) -> Column:
+    """struct<lang_pred, lang_score (cosine), lang_rejected> of a text.
 
     Null, empty and letterless texts, and all texts under a model without languages, are
     `und` with score 0 and rejected.  Ties go to the language that sorts first.
     """
-    taken = {"lang_pred", "lang_score", "lang_rejected"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"columns {sorted(taken)} are taken by the result")
     # one centroid matrix: languages * centroids * DIMS floats, bounded by max_languages
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("struct<lang_pred: string, lang_score: double>")
+    @F.pandas_udf("struct<lang_pred: string, lang_score: double, lang_rejected: boolean>")
     def of(texts):
         import pandas as pd
 
         model = shared.value
-        return pd.DataFrame([classify(t, model) for t in texts], columns=["lang_pred", "lang_score"])
+        rows = [(name, score, name == UNKNOWN or 1 - score > max_distance) for name, score in (classify(t, model) for t in texts)]
+        return pd.DataFrame(rows, columns=["lang_pred", "lang_score", "lang_rejected"])
+
+    return of(text)
+
 
-    got = docs.withColumn("_lang", of(F.col(text_col)))
-    return got.select(*docs.columns, "_lang.lang_pred", "_lang.lang_score", ((F.col("_lang.lang_pred") == UNKNOWN) | (1 - F.col("_lang.lang_score") > max_distance)).alias("lang_rejected"))
+RESULT = ("lang_pred", "lang_score", "lang_rejected")
+
+
+def identify(docs: DataFrame, model: Centroids, text_col: str = "text", max_distance: float = 0.95) -> DataFrame:
+    """`docs` plus the fields of predict(), which take the place of columns with their names."""
+    kept = [c for c in docs.columns if c.lower() not in RESULT]
+    temp = "_".join(["_lang", *docs.columns])  # no column has this name
+    got = docs.withColumn(temp, predict(docs.sparkSession, model, F.col(text_col), max_distance))
+    return got.select(*kept, *[F.col(temp)[c].alias(c) for c in RESULT])
 
 
 def held_out(id_col: Column, folds: int = 5) -> Column:

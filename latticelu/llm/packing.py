@@ -2,11 +2,13 @@
 
 Pieces are dealt by hash into groups of bounded size; each group is packed best-fit
 decreasing.  Dual-feasible functions give a lower bound on the group's bins.  A group
-that reaches its bound is certified: its bins are final but for the least filled one.
-A group with a gap releases every bin that has free space, since any of them may hold
-the loss.  What groups release is dealt anew - so documents change groups - and packed
-again, in fewer groups each round, until one group holds the rest or `max_rounds` is
-reached.
+that reaches its bound without more room than rounding leaves is certified: its bins are
+final but for the emptiest.  Any other group has a gap - to its bound, or to what its
+summed length needs, when its mix of lengths is to blame - and releases every bin that
+has room.  What groups release is dealt anew, so documents change groups, and packed again,
+in fewer groups each round (a group may grow to eight times `group_rows`).  It ends when
+the bound of all released pieces together certifies their bins, when one group holds
+them all, or after `max_rounds`.
 
 Only (id, piece, length, ...) rows move between groups, never token ids.
 """
@@ -58,9 +60,11 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
     return bins, offsets, count
 
 
-def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY, depth: int = 24) -> int:
+def lower_bound(lengths: np.ndarray | dict[int, int], capacity: int = CAPACITY, depth: int = 24) -> int:
     """The largest bound that the dual-feasible functions give on the number of bins.
 
+    `lengths` lists lengths, or maps each to how many there are.
+
     Families: the identity; the threshold functions, which round sizes over
     capacity - e up to capacity and those under e down to zero; and the rounding
     functions u(k), which keep x where (k+1)x/capacity is whole and else take
@@ -68,7 +72,11 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY, depth: int = 24)
     """
     if not len(lengths):
         return 0
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    if isinstance(lengths, dict):
+        count = np.zeros(capacity + 1, np.int64)
+        count[list(lengths)] = list(lengths.values())
+    else:
+        count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
     x = np.arange(capacity + 1, dtype=np.int64)
     best = -(-int(count @ x) // capacity)
     mass, number = np.cumsum(count * x), np.cumsum(count)
@@ -91,7 +99,8 @@ def _pack_group(table: pa.Table, capacity: int, final: bool, group: int) -> pa.T
     room = capacity - np.bincount(bins, lengths, count).astype(np.int64)
     done = np.ones(count, bool)
     if not final and count:
-        if count > lower_bound(lengths, capacity):
+        certified = count == lower_bound(lengths, capacity)
+        if not certified or count > -(-int(lengths.sum()) // capacity):
             done = room == 0
         else:
             done[np.argmax(room)] = False
@@ -109,13 +118,13 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = 1
     full = pieces.filter(F.col("length") == capacity)
     # one sequence for each row; the table is stored, so partition and order in it are fixed
     parts = [full.select("*", (F.lit(1 << 62) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))]
-    pool, left = pieces.filter(F.col("length") < capacity), None
+    pool = pieces.filter(F.col("length") < capacity)
     schema = f"{PIECES}, sequence_id bigint, offset bigint, done boolean"
     for turn in range(max_rounds):
         rows = pool.count()
-        if not rows or rows == left:
+        if not rows:
             break
-        groups = math.ceil(rows / group_rows)
+        groups = math.ceil(rows / (group_rows * min(2**turn, 8)))
         final = groups == 1 or turn == max_rounds - 1
 
         def run(batches: Iterator[pa.RecordBatch], turn=turn, final=final) -> Iterator[pa.RecordBatch]:
@@ -129,7 +138,14 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = 1
         parts.append(packed.filter("done").drop("done"))
         if final:
             break
-        pool = packed.filter("not done").select(*pieces.columns)
+        left = packed.filter("not done")
+        # at most a row for each length reaches the driver
+        by_length = {r["length"]: r["n"] for r in left.groupBy("length").agg(F.count("*").alias("n")).collect()}
+        bins = left.filter("offset = 0").count()
+        if bins <= lower_bound(by_length, capacity):
+            parts.append(left.drop("done"))
+            break
+        pool = left.select(*pieces.columns)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -48,13 +48,12 @@ def shuffle_shards(records: DataFrame, shards: int = 8, seed: int = 7, key_cols:
     """Write `records` as shuffled shards and return what was written, with _shard, _slot and their columns.
 
     The order depends on the keys and the seed alone.  Rows with equal keys go to one
-    bucket and are interchangeable.  Nulls are keys like others.  An empty table gives
+    bucket and are interchangeable.  Columns _shard, _slot and _bucket of `records` are replaced.  Nulls are keys like others.  An empty table gives
     empty shards.  Only counts by bucket reach the driver: 8 bytes for each
     `bucket_bytes` of input.
     """
-    if {"_shard", "_slot"} & set(records.columns):
-        raise ValueError("columns _shard and _slot are taken by the result")
     spark = records.sparkSession
+    records = records.drop("_shard", "_slot", "_bucket")
     total = records.agg(F.sum(record_size(F.col(text_col))).alias("b")).first()["b"] or 0
     buckets = max(1, math.ceil(total / bucket_bytes))
     bucket = F.pmod(F.xxhash64(F.lit(seed), *key_cols), F.lit(buckets)).cast("int")

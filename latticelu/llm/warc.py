@@ -30,7 +30,7 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(kind: str, key: int | None) -> str:
+def record_id(kind: str, key: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{kind}:{key}')}>"
 
 
@@ -71,7 +71,9 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _capture(page: int | None, url: str | None, payload: bytes, refers: int | None, date: str) -> list[bytes]:
-    main, target, digest = record_id("main", page), url or "", payload_digest(payload)
+    target, digest = url or "", payload_digest(payload)
+    key = f"{'' if page is None else page}:{digest}"  # ids may repeat, with other payloads
+    main = record_id("main", key)
     request = f"GET {_line(target)} HTTP/1.1\r\n\r\n".encode("utf-8", "surrogatepass")
     base = [("WARC-Date", date), ("WARC-Target-URI", target)]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -79,17 +81,20 @@ def _capture(page: int | None, url: str | None, payload: bytes, refers: int | No
     if refers is None:
         record = build_record("response", own, http + payload)
     else:
-        record = build_record("revisit", [*own, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id("main", refers))], http)
+        record = build_record("revisit", [*own, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id("main", f"{refers}:{digest}"))], http)
     fields = f"page: {'' if page is None else page}\r\npayloadBytes: {len(payload)}\r\nrefersTo: {'' if refers is None else refers}\r\n".encode()
     return [
-        build_record("request", [("WARC-Record-ID", record_id("request", page)), *base, ("WARC-Concurrent-To", main), ("Content-Type", "application/http;msgtype=request")], request),
+        build_record("request", [("WARC-Record-ID", record_id("request", key)), *base, ("WARC-Concurrent-To", main), ("Content-Type", "application/http;msgtype=request")], request),
         record,
-        build_record("metadata", [("WARC-Record-ID", record_id("metadata", page)), *base, ("WARC-Concurrent-To", main), ("Content-Type", "application/warc-fields")], fields),
+        build_record("metadata", [("WARC-Record-ID", record_id("metadata", key)), *base, ("WARC-Concurrent-To", main), ("Content-Type", "application/warc-fields")], fields),
     ]
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 0, captures_per_file: int = 500, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Write three records for each row of `pages` (ids that differ) under `path`.
+    """Write three records for each row of `pages` under `path`.
+
+    Captures are told apart by id and payload, so rows that repeat both are read back as
+    one.  A row with a null id is always a response.
 
     Null HTML is an empty payload, a null URL an empty one.  Of rows with equal payloads of
     at least `min_revisit_bytes` bytes, that with the least id is the response.  Equal
@@ -99,7 +104,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     rows = pages.select(F.col(id_col).cast("bigint").alias("page"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
     keys = rows.select("page", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("bytes"))
     first = keys.filter(F.col("bytes") >= min_revisit_bytes).groupBy("digest", "bytes").agg(F.min("page").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    refers = materialize(keys.join(first, ["digest", "bytes"]).filter("page <> first").select(F.col("page").alias("p"), "first"), "revisits")
+    refers = materialize(keys.join(first, ["digest", "bytes"]).filter("page <> first").select(F.col("page").alias("p"), F.col("digest").alias("d"), "first").distinct(), "revisits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,7 +114,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                         for page, url, payload, ref in zip(*(part.column(k).to_pylist() for k in range(4)))]
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["record"])
 
-    joined = rows.join(refers, rows["page"] == refers["p"], "left").select("page", "url", "payload", "first")
+    joined = rows.join(refers, (rows["page"] == refers["p"]) & (F.sha1(rows["payload"]) == refers["d"]), "left").select("page", "url", "payload", "first")
     text = joined.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
     text.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", captures_per_file).text(path)
 

@@ -1,0 +1,50 @@
+import zlib
+
+import numpy as np
+from latticelu.llm import sharding
+
+
+def test_fisher_yates_is_uniform():
+    seen = {}
+    for s in range(6000):
+        k = tuple(sharding.fisher_yates(3, (s,)).tolist())
+        seen[k] = seen.get(k, 0) + 1
+    assert len(seen) == 6 and min(seen.values()) > 850
+    assert sharding.fisher_yates(0, (1,)).tolist() == [] and sharding.fisher_yates(1, (1,)).tolist() == [0]
+    assert sharding.fisher_yates(50, (1, 2)).tolist() == sharding.fisher_yates(50, (1, 2)).tolist()
+
+
+def check(rows, n, shards):
+    by = {}
+    for shard, slot in rows:
+        by.setdefault(shard, []).append(slot)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    sizes = [len(by.get(s, [])) for s in range(shards)]
+    assert sum(sizes) == n and max(sizes) - min(sizes) <= 1
+
+
+def test_query(spark, sf_dir):
+    from latticelu.llm import queries
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = queries.op2_sharding(spark, sf_dir).collect()
+    check([(r.shard, r.slot) for r in rows], len(docs), 8)
+    assert {r.doc_id: (r["size"], r.text_crc32) for r in rows} == {d: (len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in docs.items()}
+
+
+def test_order_depends_on_keys_and_seed_only(spark):
+    rows = [(i, "x" * (i % 50)) for i in range(500)]
+    place = lambda df, **k: {r.doc_id: (r._shard, r._slot) for r in sharding.shuffle_shards(df, 3, bucket_bytes=1000, **k).collect()}
+    one = place(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7))
+    two = place(spark.createDataFrame(rows[::-1], "doc_id bigint, text string").coalesce(1))
+    assert one == two != place(spark.createDataFrame(rows, "doc_id bigint, text string"), seed=8)
+    check(one.values(), 500, 3)
+    order = np.array([d for d, _ in sorted(one.items(), key=lambda x: x[1])])
+    assert abs(np.corrcoef(order, np.arange(500))[0, 1]) < 0.2
+
+
+def test_nulls_repeats_clashing_names_and_empty_tables(spark):
+    df = spark.createDataFrame([(None, None, 1)] * 5 + [(1, "", 2), (1, "y", 3)], "doc_id bigint, text string, _shard int")
+    rows = sharding.shuffle_shards(df, 4).collect()
+    check([(r._shard, r._slot) for r in rows], 7, 4)
+    assert sharding.shuffle_shards(df.limit(0), 4).count() == 0

@@ -1,0 +1,103 @@
+import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from latticelu.llm import simhash
+from latticelu.llm.components import connected_components
+
+SCHEMA = "doc_id bigint, text string"
+
+
+def plain_fingerprint(text):
+    words = [w for w in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").translate({c: 32 for c in range(9, 14)}).split(" ") if w]
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+    h = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def components(fps, most):
+    parent = list(range(len(fps)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= most:
+                parent[find(i)] = find(j)
+    return [find(i) for i in range(len(fps))]
+
+
+@pytest.mark.parametrize("text", [None, "", " \t\n", "One", "one two THREE", "a b c d", "a b c d e f g " * 50, "É é ß \x0b x y \x1c z w"])
+def test_fingerprint_is_that_of_the_plain_rule(text):
+    assert int.from_bytes(simhash.fingerprint(text)) == plain_fingerprint(text)
+
+
+def test_chunks_of_a_very_long_text_add_up(monkeypatch):
+    text = " ".join(f"w{i * i % 977}" for i in range(5000))
+    whole = simhash.fingerprint(text)
+    monkeypatch.setattr(simhash, "_CHUNK", 100)
+    assert simhash.fingerprint(text) == whole
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 2**64 - 1), st.lists(st.integers(0, 63), max_size=7))
+def test_budgets_accept_exactly_the_near(a, flips):
+    b = a
+    for f in flips:
+        b ^= 1 << f
+    near = bin(a ^ b).count("1") <= 4
+    assert bool(simhash.within(np.array([a ^ b], np.uint64), 4)[0]) == near
+
+
+@pytest.mark.parametrize("block_rows", [4096, 7])
+def test_links_have_the_components_of_all_pairs(spark, block_rows):
+    rng = np.random.default_rng(5)
+    fps = set(rng.integers(0, 2**63, 60).tolist())
+    hub = int(rng.integers(0, 2**63))
+    for _ in range(150):  # a dense group: a hot bucket of every key
+        fps.add(hub ^ sum(1 << int(b) for b in rng.choice(63, int(rng.integers(0, 6)), replace=False)))
+    fps = sorted(fps)
+    links = simhash.fingerprint_links(spark.createDataFrame([(f,) for f in fps], "fp bigint"), 4, block_rows).collect()
+    assert all(bin(a ^ b).count("1") <= 64 for a, b in links)
+    found = {r.node: r.root for r in connected_components(spark.createDataFrame(links or [], "a bigint, b bigint")).collect()}
+    want = components(fps, 4)
+    groups = {}
+    for f, w in zip(fps, want):
+        groups.setdefault(w, set()).add(found.get(f, f))
+    assert all(len(g) == 1 for g in groups.values()) and len(groups) == len({found.get(f, f) for f in fps})
+
+
+def test_components_of_a_chain_and_loops(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100), (7, 3), (3, 7), (200, 201)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 200: 200, 201: 200}
+
+
+def test_query_matches_brute_force(spark, sf_dir):
+    from latticelu.llm import queries
+
+    got = queries.op3_simhash(spark, sf_dir).toPandas().set_index("doc_id").sort_index()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").toPandas().set_index("doc_id").sort_index()
+    fps = [plain_fingerprint(t) for t in docs.text]
+    assert got.fingerprint.tolist() == [f"{f:016x}" for f in fps]
+    comp = components(fps, 4)
+    least = {}
+    for d, c in zip(docs.index, comp):
+        least[c] = min(least.get(c, d), d)
+    assert got.component_id.tolist() == [least[c] for c in comp]
+
+
+def test_nulls_repeats_clashing_names_and_empty_tables(spark):
+    rows = [(1, "a b c d e", 9), (2, None, 9), (3, "", 9), (2, None, 8), (None, "a b c d e", 9), (4, "x y z w", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, fp int").withColumnRenamed("fp", "component_id")
+    got = sorted((r.id is None, r.id, r.component_id) for r in simhash.near_duplicates(docs).collect())
+    assert got == [(False, 1, 1), (False, 2, 2), (False, 2, 2), (False, 3, 2), (False, 4, 4), (True, None, 1)]
+    kept = simhash.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 2), (False, 4), (True, 0)]
+    assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert simhash.deduplicate(spark.createDataFrame([], SCHEMA)).count() == 0
