@@ -306,7 +306,7 @@ _LU = """WITH RECURSIVE {matrix},
 dense AS (SELECT r.i, c.j, coalesce(m.v, 0)::DOUBLE AS v FROM range({n}) AS r(i), range({n}) AS c(j) LEFT JOIN m ON m.i = r.i AND m.j = c.j),
 f AS (SELECT 0::BIGINT AS k, i, j, v FROM dense
       UNION ALL SELECT x.k + 1, x.i, x.j, CASE WHEN x.i > x.k AND x.j = x.k THEN x.v / p.v WHEN x.i > x.k AND x.j > x.k THEN x.v - c.v / p.v * r.v ELSE x.v END
-      FROM f x JOIN f p ON p.i = x.k AND p.j = x.k JOIN f c ON c.i = x.i AND c.j = x.k JOIN f r ON r.i = x.k AND r.j = x.j WHERE x.k < {n} - 1),
+      FROM f x JOIN (SELECT v FROM f WHERE i = k AND j = k) p ON true JOIN (SELECT i, v FROM f WHERE j = k) c ON c.i = x.i JOIN (SELECT j, v FROM f WHERE i = k) r ON r.j = x.j WHERE x.k < {n} - 1),
 lu AS (SELECT i, j, v FROM f WHERE k = {n} - 1)"""
 _LU_HIERARCHY = _LU.format(matrix=fx.HIERARCHY_SQL, n=fx.HIERARCHY_N)
 _LU_SUPPLY = _LU.format(matrix=fx.CO_SUPPLY_SQL, n="(SELECT count(*) FROM supplier)")
@@ -316,7 +316,7 @@ _GJ = """WITH RECURSIVE {matrix}, rhs AS ({rhs}),
 aug AS (SELECT r.i, c.j, coalesce(CASE WHEN c.j = {n} THEN b.v ELSE m.v END, 0)::DOUBLE AS v FROM range({n}) AS r(i), range({n} + 1) AS c(j) LEFT JOIN m ON m.i = r.i AND m.j = c.j LEFT JOIN rhs b ON b.i = r.i),
 g AS (SELECT 0::BIGINT AS k, i, j, v FROM aug
       UNION ALL SELECT x.k + 1, x.i, x.j, CASE WHEN x.i = x.k THEN x.v / p.v ELSE x.v - c.v / p.v * r.v END
-      FROM g x JOIN g p ON p.i = x.k AND p.j = x.k JOIN g c ON c.i = x.i AND c.j = x.k JOIN g r ON r.i = x.k AND r.j = x.j WHERE x.k < {n})
+      FROM g x JOIN (SELECT v FROM g WHERE i = k AND j = k) p ON true JOIN (SELECT i, v FROM g WHERE j = k) c ON c.i = x.i JOIN (SELECT j, v FROM g WHERE i = k) r ON r.j = x.j WHERE x.k < {n})
 SELECT i, round(v, 6) + 0.0 AS v FROM g WHERE k = {n} AND j = {n}"""
 
 
