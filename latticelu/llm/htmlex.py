@@ -132,7 +132,7 @@ def stream(page: str) -> list[tuple[str, str]]:
         if closing:
             if tag in open_tags:
                 close_to(len(open_tags) - 1 - open_tags[::-1].index(tag))
-            else:
+            elif tag == "p":  # stands for an empty paragraph; other stray ends are none
                 flush()
             continue
         if tag in _ENDS_P and "p" in open_tags:

@@ -166,7 +166,7 @@ def assemble(records: DataFrame) -> DataFrame:
     kind one stays.
     """
     key = F.coalesce("concurrent_to", "id")
-    of = lambda *kinds: F.first(F.when(F.col("kind").isin(*kinds), F.struct("kind", "id", "refers_to", "url", "page", "payload_bytes", "payload_digest", "stated_digest", "refers_page", "payload")), ignorenulls=True)
+    of = lambda *kinds: F.first(F.when(F.col("kind").isin(*kinds), F.struct("kind", "id", "concurrent_to", "refers_to", "url", "page", "payload_bytes", "payload_digest", "stated_digest", "refers_page", "payload")), ignorenulls=True)
     return records.withColumn("capture", key).groupBy("capture").agg(of("request").alias("request"), of("response", "revisit").alias("response"), of("metadata").alias("metadata")).select(F.col("metadata.page").alias("page"), "capture", "request", "response", "metadata")
 
 
