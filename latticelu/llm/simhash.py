@@ -18,11 +18,19 @@ aggregation).  A bucket is never expanded into all its pairs: inside a bucket a
 breadth-first walk emits one star per connected group.  A bucket of more than
 `block_rows` fingerprints is split in hash blocks, and every pair of blocks is a task
 of its own, so no bucket is gathered whole and no link is lost.
+
+Similarity.  Copies that share 0.8 of their shingles differ in about ten of 64 bits, where
+ring segments are too short to search by.  `similar_links` therefore makes a wider
+fingerprint (`WIDE` bits, of the distinct shingles), takes documents that share one of
+their `ANCHORS` least shingle hashes as candidates (two sets of that similarity share
+none with probability 0.2 ** 8 at most), and keeps pairs whose differences pass the chains
+of budgets over the wide ring.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,27 +46,62 @@ SEED = 42
 WIDTHS = (13, 13, 13, 13, 12)
 SEGMENTS = len(WIDTHS)
 _CHUNK = 1 << 15
+#: Bits of the wide fingerprint, and how many 32-bit segments its ring has.
+WIDE, WIDE_SEGMENTS = 256, 8
+ANCHORS = 8
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
-def fingerprint(text: str | None, shingle_words: int = 4) -> bytes:
-    """The fingerprint, 8 bytes from the highest; null or wordless text: zero."""
+def shingle_digests(text: str | None, shingle_words: int) -> Iterator[bytes]:
+    """XXH64 of every shingle, repeats included, 8 bytes each, in chunks."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return bytes(8)
+        return
     line = b" ".join(words)
     if len(words) <= shingle_words:
-        return xxhash.xxh64_digest(line, SEED)
+        yield xxhash.xxh64_digest(line, SEED)
+        return
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(lengths) - 1
     starts = ends - lengths + 1
     a, b = starts[: len(words) - shingle_words + 1].tolist(), ends[shingle_words - 1 :].tolist()
     del words
-    votes, digest = np.zeros(64, np.int64), xxhash.xxh64_digest
+    digest = xxhash.xxh64_digest
     for at in range(0, len(a), _CHUNK):
-        got = b"".join([digest(line[x:y], SEED) for x, y in zip(a[at : at + _CHUNK], b[at : at + _CHUNK])])
+        yield b"".join([digest(line[x:y], SEED) for x, y in zip(a[at : at + _CHUNK], b[at : at + _CHUNK])])
+
+
+def fingerprint(text: str | None, shingle_words: int = 4) -> bytes:
+    """The fingerprint, 8 bytes from the highest; null or wordless text: zero."""
+    votes, count = np.zeros(64, np.int64), 0
+    for got in shingle_digests(text, shingle_words):
         bits = np.unpackbits(np.frombuffer(got, np.uint8).reshape(-1, 8), axis=1)
         votes += bits.sum(axis=0, dtype=np.int32)
-    return np.packbits(2 * votes > len(a)).tobytes()
+        count += len(bits)
+    return np.packbits(2 * votes > count).tobytes()
+
+
+def wide_sketch(text: str | None, shingle_words: int = 5) -> tuple[bytes, np.ndarray]:
+    """(fingerprint of WIDE bits, least shingle hashes) of the distinct shingles."""
+    parts = [np.frombuffer(got, ">u8").astype(np.uint64) for got in shingle_digests(text, shingle_words)]
+    h = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    votes = np.zeros(WIDE, np.int64)
+    for at in range(0, len(h), _CHUNK):
+        own = h[at : at + _CHUNK]
+        words = np.empty((len(own), WIDE // 64), np.uint64)
+        for k in range(WIDE // 64):  # a finaliser of the hash plus k steps
+            z = own + _MIX[0] * np.uint64(k + 1)
+            z = (z ^ (z >> np.uint64(30))) * _MIX[1]
+            z = (z ^ (z >> np.uint64(27))) * _MIX[2]
+            words[:, k] = z ^ (z >> np.uint64(31))
+        votes += np.unpackbits(words.view(np.uint8).reshape(len(own), -1), axis=1).sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * votes > len(h)).tobytes(), h[:ANCHORS].view(np.int64)
+
+
+def wide_budget(similarity: float) -> int:
+    """Differing bits that sets of this similarity keep under (two and a half deviations)."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(WIDE * share + 2.5 * math.sqrt(WIDE * share * (1 - share)))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4) -> DataFrame:
@@ -94,28 +137,43 @@ def ring_keys(fp: Column) -> Column:
 
 def within(x: np.ndarray, max_bits: int) -> np.ndarray:
     """True where the differing bits `x` pass a whole chain of budgets (hence max_bits)."""
-    low = _offsets()
-    parts = [np.bitwise_count((x >> np.uint64(a)) & np.uint64((1 << w) - 1)) for a, w in zip(low, WIDTHS)]
+    near = np.flatnonzero(np.bitwise_count(x) <= max_bits)
+    parts = [np.bitwise_count((x[near] >> np.uint64(a)) & np.uint64((1 << w) - 1)) for a, w in zip(_offsets(), WIDTHS)]
     found = np.zeros(len(x), bool)
-    for i in range(SEGMENTS):
-        total, ok = np.zeros(len(x), np.int64), np.ones(len(x), bool)
-        for length in range(1, SEGMENTS + 1):
-            total += parts[(i + length - 1) % SEGMENTS]
-            ok &= total <= length * max_bits // SEGMENTS
+    found[near] = chains(parts, max_bits)
+    return found
+
+
+def chains(parts: list[np.ndarray], max_bits: int) -> np.ndarray:
+    """True where the segments' differences pass a whole chain of budgets (hence max_bits)."""
+    m = len(parts)
+    found = np.zeros(len(parts[0]), bool)
+    for i in range(m):
+        total, ok = np.zeros(len(parts[0]), np.int64), np.ones(len(parts[0]), bool)
+        for length in range(1, m + 1):
+            total += parts[(i + length - 1) % m]
+            ok &= total <= length * max_bits // m
         found |= ok
     return found
 
 
-def bucket_links(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def wide_within(x: np.ndarray, max_bits: int) -> np.ndarray:
+    """chains() of rows of differing bits, four 64-bit words each."""
+    near = np.flatnonzero(np.bitwise_count(x).sum(axis=1) <= max_bits)
+    counts = np.bitwise_count(np.ascontiguousarray(x[near]).view(np.uint32))
+    found = np.zeros(len(x), bool)
+    found[near] = chains([counts[:, k] for k in range(WIDE_SEGMENTS)], max_bits)
+    return found
+
+
+def bucket_links(fps: np.ndarray, max_bits: int, within: Callable = within) -> tuple[np.ndarray, np.ndarray]:
     """Stars (root, member) with the connectivity of all links among `fps`."""
     left, roots, members = np.arange(len(fps)), [], []
     while len(left) > 1:
         root, left = left[0], left[1:]
         queue = [root]
         while queue and len(left):
-            x = fps[left] ^ fps[queue.pop()]
-            near = np.flatnonzero(np.bitwise_count(x) <= 3 * max_bits)  # cheap; `within` decides
-            near = near[within(x[near], max_bits)]
+            near = np.flatnonzero(within(fps[left] ^ fps[queue.pop()], max_bits))
             if len(near):
                 got = left[near]
                 roots.append(np.full(len(got), root))
@@ -129,8 +187,10 @@ def bucket_links(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray
 _SMALL = 6
 
 
-def _links(max_bits: int):
-    def of(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _links(max_bits: int, within: Callable):
+    """Batches (key, pair, node, fingerprint), sorted by key and pair, to links of nodes."""
+
+    def of(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """keys sorted, whole buckets."""
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         sizes = np.diff(np.r_[first, len(keys)])
@@ -138,61 +198,90 @@ def _links(max_bits: int):
         a, b = [], []
         for lag in range(1, _SMALL):  # small buckets: all of them at once
             near = np.flatnonzero((keys[lag:] == keys[:-lag]) & (size[lag:] <= _SMALL))
-            x = fps[near] ^ fps[near + lag]
-            near = near[within(x, max_bits)]
-            a.append(fps[near])
-            b.append(fps[near + lag])
+            near = near[within(fps[near] ^ fps[near + lag], max_bits)]
+            a.append(nodes[near])
+            b.append(nodes[near + lag])
         for k in np.flatnonzero(sizes > _SMALL):
-            own = fps[first[k] : first[k] + sizes[k]]
-            r, m = bucket_links(own, max_bits)
-            a.append(own[r])
-            b.append(own[m])
+            own = slice(first[k], first[k] + sizes[k])
+            r, m = bucket_links(fps[own], max_bits, within)
+            a.append(nodes[own][r])
+            b.append(nodes[own][m])
         return np.concatenate(a), np.concatenate(b)
 
+    def words(column: pa.Array) -> np.ndarray:
+        if pa.types.is_integer(column.type):
+            return column.to_numpy().view(np.uint64)
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep_k, keep_f = np.zeros((0, 2), np.int64), np.zeros(0, np.uint64)
+        held: tuple[np.ndarray, ...] | None = None
 
-        def out(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        def out(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
             ids = np.cumsum(np.r_[0, (keys[1:] != keys[:-1]).any(axis=1)])
-            a, b = of(ids, fps)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+            a, b = of(ids, nodes, fps)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.column_stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
-            keys = np.concatenate([keep_k, keys])
-            fps = np.concatenate([keep_f, batch.column(2).to_numpy().view(np.uint64)])
-            ended = len(keys) - np.argmax((keys[::-1] != keys[-1]).any(axis=1)) if (keys != keys[-1]).any() else 0
+            new = (np.column_stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]), batch.column(2).to_numpy(), words(batch.column(3)))
+            held = new if held is None else tuple(np.concatenate(x) for x in zip(held, new))
+            changed = (held[0] != held[0][-1]).any(axis=1)
+            ended = int(np.flatnonzero(changed)[-1]) + 1 if changed.any() else 0
             if ended:
-                yield out(keys[:ended], fps[:ended])
-            keep_k, keep_f = keys[ended:], fps[ended:]
-        if len(keep_f):
-            yield out(keep_k, keep_f)
+                yield out(*(x[:ended] for x in held))
+                held = tuple(x[ended:] for x in held)
+        if held is not None:
+            yield out(*held)
 
     return run
 
 
-def fingerprint_links(fps: DataFrame, max_bits: int = 4, block_rows: int = 4096) -> DataFrame:
-    """(a, b) pairs of distinct fingerprints whose components are those of all links.
-
-    `fps` has one column fp, each value once.
-    """
-    if not 0 <= max_bits < SEGMENTS:
-        raise ValueError(f"max_bits must be from 0 to {SEGMENTS - 1}: more needs more segments")
-    keys = fps.select("fp", F.explode(ring_keys(F.col("fp"))).alias("key"))
+def _search(keys: DataFrame, max_bits: int, block_rows: int, within: Callable) -> DataFrame:
+    """Links (a, b) among the nodes of each key, for rows (key, node, fp)."""
     hot = keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block_rows)
     blocks = F.ceil(F.col("n") / block_rows)
-    own = F.pmod(F.xxhash64("fp"), F.coalesce(blocks, F.lit(1)))
+    own = F.pmod(F.xxhash64("node"), F.coalesce(blocks, F.lit(1)))
     dealt = keys.join(hot, "key", "left").withColumn("own", own).withColumn(
         "pair",
         F.when(F.col("n").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(
             F.transform(F.sequence(F.lit(0).cast("bigint"), blocks - 1), lambda o: F.least(o, F.col("own")) * blocks + F.greatest(o, F.col("own")))
         ),
     )
-    dealt = dealt.select("key", F.explode("pair").alias("pair"), "fp")
-    dealt = dealt.repartition("key", "pair").sortWithinPartitions("key", "pair", "fp")
-    return dealt.mapInArrow(_links(max_bits), "a bigint, b bigint").distinct()
+    dealt = dealt.select("key", F.explode("pair").alias("pair"), "node", "fp")
+    dealt = dealt.repartition("key", "pair").sortWithinPartitions("key", "pair", "node")
+    return dealt.mapInArrow(_links(max_bits, within), "a bigint, b bigint").distinct()
+
+
+def fingerprint_links(fps: DataFrame, max_bits: int = 4, block_rows: int = 4096) -> DataFrame:
+    """(a, b) pairs of distinct fingerprints whose components are those of all links.
+
+    `fps` has one column fp, each value once.
+    """
+    if not 0 <= max_bits < SEGMENTS:
+        raise ValueError(f"max_bits must be from 0 to {SEGMENTS - 1}: more needs more segments")
+    keys = fps.select(F.explode(ring_keys(F.col("fp"))).alias("key"), F.col("fp").alias("node"), "fp")
+    return _search(keys, max_bits, block_rows, within)
+
+
+def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, block_rows: int = 4096) -> DataFrame:
+    """(a, b) pairs of ids with the connectivity of documents at least this similar.
+
+    Documents of one wide fingerprint count as the one of the smallest id, and are linked
+    with it.  Rows with a null id take no part.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [wide_sketch(t.as_py(), shingle_words) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.list_(pa.int64()))], ["id", "fp", "anchors"])
+
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
+    each = materialize(rows.mapInArrow(run, "id bigint, fp binary, anchors array<bigint>"), "sketches")
+    reps = materialize(each.groupBy("fp").agg(F.min("id").alias("node"), F.min("anchors").alias("anchors")), "distinct-sketches")
+    copies = each.select("id", "fp").join(reps.select("fp", "node"), "fp").filter("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    keys = reps.select(F.explode("anchors").alias("key"), "node", "fp")
+    return copies.union(_search(keys, wide_budget(similarity), block_rows, wide_within))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, max_bits: int = 4, block_rows: int = 4096) -> DataFrame:
@@ -214,13 +303,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return each.join(of, "fp").select("id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """`docs` with one row of each component: that of the smallest id.
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = 0.8, **options) -> DataFrame:
+    """`docs` with one row of each group of near duplicates: that of the smallest id.
 
-    Rows that repeat an id stay once.  Rows with a null id can't be named, so they stay.
+    Groups are those of near_duplicates(), joined by those of similar_links() unless
+    `similarity` is None.  Rows that repeat an id stay once.  Rows with a null id can't be
+    named, so they stay.
     """
     found = near_duplicates(docs, id_col, text_col, **options).filter("id is not null")
-    dropped = found.filter(F.col("id") != F.col("component_id")).select(F.col("id").alias("_gone")).distinct()
+    groups = found.filter(F.col("id") != F.col("component_id")).select(F.col("id").alias("node"), F.col("component_id").alias("root")).distinct()
+    if similarity is not None:
+        links = groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(similar_links(docs, id_col, text_col, similarity=similarity))
+        groups = connected_components(materialize(links, "near-links"))
+    dropped = groups.filter("node <> root").select(F.col("node").alias("_gone"))
     rows = docs.join(dropped, docs[id_col] == dropped["_gone"], "left_anti")
     repeated = found.groupBy("id").count().filter("count > 1").select(F.col("id").alias("_again"))
     if repeated.isEmpty():

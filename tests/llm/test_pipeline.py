@@ -4,6 +4,11 @@ from latticelu.llm import packing, queries
 from latticelu.llm.common import materialize
 
 
+def shingles(text):
+    words = text.lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
 def test_stages_keep_columns_and_clean_rows(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, total = docs.columns, docs.count()
@@ -12,10 +17,16 @@ def test_stages_keep_columns_and_clean_rows(spark, sf_dir):
         docs = materialize(stage(spark, docs, sf_dir), name)
         assert docs.columns == columns
         left.append({r.doc_id for r in docs.select("doc_id").collect()})
-    comps = queries.op3_simhash(spark, sf_dir).collect()
+    linked = {r.doc_id: r.component_id for r in queries.op3_simhash(spark, sf_dir).collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     leaked = {r.doc_id for r in queries.op5_decontamination(spark, sf_dir).collect()}
     assert len(left[0]) == total  # every document has letters and a language
-    assert left[1] == {r.component_id for r in comps}
+    sets = {d: shingles(t) for d, t in texts.items()}
+    pairs = [(a, b, len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a in sets for b in sets if a < b]
+    assert left[1] <= set(linked.values())
+    assert not [p for p in pairs if p[2] >= 0.8 and p[0] in left[1] and p[1] in left[1]]
+    near = {b for _, b, j in pairs if j >= 0.6} | {d for d, c in linked.items() if d != c}
+    assert total - len(left[1]) > 5 and set(texts) - left[1] <= near  # nothing else goes
     assert left[2] == left[1] - leaked and leaked
     packed = corpus_pipeline.pack(spark, docs, sf_dir).collect()
     assert {r.doc_id for r in packed} == left[2]

@@ -101,3 +101,32 @@ def test_nulls_repeats_clashing_names_and_empty_tables(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 2), (False, 4), (True, 0)]
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     assert simhash.deduplicate(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_similar_copies_go_and_others_stay(spark):
+    rng = np.random.default_rng(8)
+    base = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 300)) for _ in range(40)]
+    rows = [(k, t) for k, t in enumerate(base)]
+    for k, t in enumerate(base[:30]):  # one to five changed words of 300: similarity from 0.97 to 0.84
+        words = t.split()
+        for at in rng.choice(300, 1 + k % 5, replace=False):
+            words[at] = "changed"
+        rows.append((1000 + k, " ".join(words)))
+    passage = " ".join(f"p{x}" for x in range(60))
+    rows += [(2000 + k, f"{passage} " + " ".join(f"q{x}" for x in rng.integers(0, 5000, 200))) for k in range(40)]  # a shared passage is no copy
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for block_rows in (4096, 8):
+        links = {tuple(sorted(r)) for r in simhash.similar_links(docs, block_rows=block_rows).collect()}
+        assert links == {(k, 1000 + k) for k in range(30)}
+    assert {r.doc_id for r in simhash.deduplicate(docs).collect()} == set(range(40)) | set(range(2000, 2040))
+    assert simhash.deduplicate(docs, similarity=None).count() >= simhash.deduplicate(docs).count()
+
+
+def test_wide_chains_accept_exactly_the_near():
+    rng = np.random.default_rng(2)
+    x = np.zeros((500, 4), np.uint64)
+    for row in x:
+        for b in rng.choice(256, int(rng.integers(0, 90)), replace=False):
+            row[b // 64] |= np.uint64(1 << int(b % 64))
+    assert (simhash.wide_within(x, 53) == (np.bitwise_count(x).sum(axis=1) <= 53)).all()
+    assert len(simhash.wide_within(x[:0], 53)) == 0
