@@ -98,5 +98,27 @@ def queries() -> dict:
     return {f.__name__: f for f in own}
 
 
+# base32 by groups of twenty bits: five hex digits are four letters
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, bytes::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + ((('0x' || substr(x, (1 + (k // 4) * 5)::BIGINT, 5))::INTEGER >> (15 - 5 * (k % 4))::INTEGER) & 31))::BIGINT, 1)), '') AS payload_digest,
+       CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM d"""
+
+_ESCAPED = "length(replace(replace({0}, '\\', '\\\\'), '<|', '<\\|'))"
+OP9_SQL = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL_TEXT}'),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+             coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss, count(*) FILTER (role = 'assistant') AS n_examples,
+             sum(24 + {_ESCAPED.format("replace(role, chr(10), 'nn')")} + {_ESCAPED.format("text")}) AS chars
+      FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars, n_examples FROM g"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The rest has no SQL form (tokenisers, seeded shuffles, vote fingerprints, models, spectra, markup)."""
+    return {"op7_warc": OP7_SQL.strip(), "op9_chat": OP9_SQL.strip()}
