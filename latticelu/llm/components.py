@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Links and labels stay in tables; the driver sees only two numbers a round.  Every
-step is a partial aggregation plus an equi-join, so a hub with very many links is
-split by adaptive execution like any skewed join.
+step is a partial aggregation, stored, and then an equi-join of two tables, so a hub
+with very many links is split by adaptive execution like any skewed join.
 """
 
 from __future__ import annotations
@@ -15,13 +15,13 @@ from .common import materialize
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = down.join(least, "u").filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("u", "m")).distinct()
 
@@ -40,7 +40,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     if not state[0]:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(max_rounds):
-        edges = materialize(_small_star(_large_star(edges)), "stars")
+        edges = materialize(_small_star(materialize(_large_star(edges), "large-stars")), "stars")
         before, state = state, _state(edges)
         if state == before:
             break

@@ -311,11 +311,15 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named, so they stay.
     """
     found = near_duplicates(docs, id_col, text_col, **options).filter("id is not null")
-    groups = found.filter(F.col("id") != F.col("component_id")).select(F.col("id").alias("node"), F.col("component_id").alias("root")).distinct()
+    merged = materialize(found.filter(F.col("id") != F.col("component_id")).select("id", "component_id").distinct(), "merged")
+    dropped = merged.select(F.col("id").alias("_gone"))
     if similarity is not None:
-        links = groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(similar_links(docs, id_col, text_col, similarity=similarity))
-        groups = connected_components(materialize(links, "near-links"))
-    dropped = groups.filter("node <> root").select(F.col("node").alias("_gone"))
+        # links are moved to their components' smallest ids, so copies are no nodes here
+        links = similar_links(docs, id_col, text_col, similarity=similarity)
+        for end in ("a", "b"):
+            links = links.join(merged.withColumnRenamed("id", end), end, "left").withColumn(end, F.coalesce("component_id", end)).drop("component_id")
+        groups = connected_components(materialize(links.filter("a <> b").distinct(), "near-links"))
+        dropped = dropped.union(groups.filter("node <> root").select("node"))
     rows = docs.join(dropped, docs[id_col] == dropped["_gone"], "left_anti")
     repeated = found.groupBy("id").count().filter("count > 1").select(F.col("id").alias("_again"))
     if repeated.isEmpty():
