@@ -90,7 +90,7 @@ def wide_sketch(text: str | None, shingle_words: int = 5) -> tuple[bytes, np.nda
         own = h[at : at + _CHUNK]
         words = np.empty((len(own), WIDE // 64), np.uint64)
         for k in range(WIDE // 64):  # a finaliser of the hash plus k steps
-            z = own + _MIX[0] * np.uint64(k + 1)
+            z = own + np.uint64(int(_MIX[0]) * (k + 1) % 2**64)
             z = (z ^ (z >> np.uint64(30))) * _MIX[1]
             z = (z ^ (z >> np.uint64(27))) * _MIX[2]
             words[:, k] = z ^ (z >> np.uint64(31))
