@@ -23,8 +23,10 @@ Similarity.  Copies that share 0.8 of their shingles differ in about ten of 64 b
 ring segments are too short to search by.  `similar_links` therefore makes a wider
 fingerprint (`WIDE` bits, of the distinct shingles), takes documents that share one of
 their `ANCHORS` least shingle hashes as candidates (two sets of that similarity share
-none with probability 0.2 ** 8 at most), and keeps pairs whose differences pass the chains
-of budgets over the wide ring.
+none with probability 0.2 ** 8 at most), and searches them for pairs whose differences pass
+the chains of budgets over the wide ring.  That estimate also lets less similar pairs
+through, so it only forms groups: within each, the distinct shingle hashes themselves are
+compared, and a link is a pair whose exact similarity is enough.
 """
 
 from __future__ import annotations
@@ -81,10 +83,19 @@ def fingerprint(text: str | None, shingle_words: int = 4) -> bytes:
     return np.packbits(2 * votes > count).tobytes()
 
 
-def wide_sketch(text: str | None, shingle_words: int = 5) -> tuple[bytes, np.ndarray]:
-    """(fingerprint of WIDE bits, least shingle hashes) of the distinct shingles."""
+def shingle_set(text: str | None, shingle_words: int = 5) -> np.ndarray:
+    """The distinct shingles' hashes, sorted."""
     parts = [np.frombuffer(got, ">u8").astype(np.uint64) for got in shingle_digests(text, shingle_words)]
-    h = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def set_digest(h: np.ndarray) -> bytes:
+    """Names a set of shingles."""
+    return xxhash.xxh3_128_digest(h.tobytes())
+
+
+def wide_sketch(h: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """(fingerprint of WIDE bits, least shingle hashes) of a set of shingles."""
     votes = np.zeros(WIDE, np.int64)
     for at in range(0, len(h), _CHUNK):
         own = h[at : at + _CHUNK]
@@ -264,24 +275,106 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 4, block_rows: int = 4096)
     return _search(keys, max_bits, block_rows, within)
 
 
+def exact_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (index, index) at least this similar, with the connectivity of all such pairs.
+
+    `sets` are arrays of distinct values, none empty.  A walk from each set in turn reaches its true
+    neighbours; what it reached leaves the comparison.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    ends = np.cumsum(sizes)
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    marked = np.zeros(int(flat.max()) + 1, bool)
+    left, own = np.arange(len(sets)), flat  # sets not yet reached, and their values
+    a, b = [], []
+    while len(left) > 1:
+        queue, own, left = [int(left[0])], own[sizes[left[0]] :], left[1:]
+        while queue and len(left):
+            u = queue.pop()
+            mine = flat[ends[u] - sizes[u] : ends[u]]
+            marked[mine] = True
+            shared = np.add.reduceat(marked[own], np.cumsum(sizes[left]) - sizes[left], dtype=np.int64)
+            marked[mine] = False
+            near = shared >= similarity * (sizes[u] + sizes[left] - shared) - 1e-9
+            if near.any():
+                a.append(np.full(int(near.sum()), u))
+                b.append(left[near])
+                queue.extend(left[near].tolist())
+                own = own[np.repeat(~near, sizes[left])]
+                left = left[~near]
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+
+
+def _exact_search(sets: DataFrame, similarity: float, block_rows: int) -> DataFrame:
+    """Links (a, b) among the nodes of each key, for rows (key, node, hashes).
+
+    A key of many rows is split in hash blocks as in _search(): in up to 16 from `block_rows` / 16
+    rows on, in more beyond `block_rows` rows or 32 MB a block.
+    """
+    n, parts = F.col("n"), F.col("parts")
+    parts_of = F.greatest(F.least(F.ceil(16 * n / block_rows), F.lit(16)), F.ceil(n / block_rows), F.ceil(F.col("bytes") / (32 << 20)))
+    hot = sets.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.length("hashes")).alias("bytes")).select("key", parts_of.alias("parts")).filter(parts > 1)
+    dealt = sets.join(hot, "key", "left").withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce(parts, F.lit(1))))
+    pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), parts - 1), lambda o: F.least(o, F.col("own")) * parts + F.greatest(o, F.col("own")))
+    dealt = dealt.withColumn("pair", F.when(parts.isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(pairs))
+    dealt = dealt.select("key", F.explode("pair").alias("pair"), "node", "hashes")
+    dealt = dealt.repartition("key", "pair").sortWithinPartitions("key", "pair", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, nodes, sets = None, [], []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            a, b = exact_links(sets, similarity)
+            ids = np.array(nodes, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+
+        for batch in batches:
+            for key, pair, node, hashes in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
+                if (key, pair) != at:
+                    if len(sets) > 1:
+                        yield from out()
+                    at, nodes, sets = (key, pair), [], []
+                nodes.append(node)
+                sets.append(np.frombuffer(hashes.as_py(), np.uint64))
+        if len(sets) > 1:
+            yield from out()
+
+    return dealt.mapInArrow(run, "a bigint, b bigint").filter("a <> b").distinct()
+
+
 def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, block_rows: int = 4096) -> DataFrame:
     """(a, b) pairs of ids with the connectivity of documents at least this similar.
 
-    Documents of one wide fingerprint count as the one of the smallest id, and are linked
-    with it.  Rows with a null id take no part.
+    Similarity is that of the sets of shingles, computed exactly for every link.  Documents of
+    one set count as the one of the smallest id, and are linked with it.  Rows with a null id
+    take no part.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [(set_digest(h), *wide_sketch(h)) for h in (shingle_set(t.as_py(), shingle_words) for t in batch.column(1))]
+            digests, fps, anchors = ([m[k] for m in made] for k in range(3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(fps, pa.binary()), pa.array(anchors, pa.list_(pa.int64()))], ["id", "digest", "fp", "anchors"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [wide_sketch(t.as_py(), shingle_words) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.list_(pa.int64()))], ["id", "fp", "anchors"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                made = [(set_digest(h), h.tobytes()) for h in (shingle_set(t.as_py(), shingle_words) for t in part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.binary())], ["node", "digest", "hashes"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    each = materialize(rows.mapInArrow(run, "id bigint, fp binary, anchors array<bigint>"), "sketches")
-    reps = materialize(each.groupBy("fp").agg(F.min("id").alias("node"), F.min("anchors").alias("anchors")), "distinct-sketches")
-    copies = each.select("id", "fp").join(reps.select("fp", "node"), "fp").filter("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    each = materialize(rows.mapInArrow(sketched, "id bigint, digest binary, fp binary, anchors array<bigint>"), "sketches")
+    reps = materialize(each.groupBy("digest").agg(F.min("id").alias("node"), F.min("fp").alias("fp"), F.min("anchors").alias("anchors")), "distinct-sketches")
+    copies = each.select("id", "digest").join(reps.select("digest", "node"), "digest").filter("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
     keys = reps.select(F.explode("anchors").alias("key"), "node", "fp")
-    return copies.union(_search(keys, wide_budget(similarity), block_rows, wide_within))
+    groups = connected_components(materialize(_search(keys, wide_budget(similarity), block_rows, wide_within), "wide-links"))
+    near = materialize(reps.select("digest", "node").join(groups, "node").select("digest", "node", F.col("root").alias("key")), "wide-groups")
+    few = rows.join(near.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
+    sets = materialize(few.mapInArrow(whole, "node bigint, digest binary, hashes binary"), "shingle-sets")
+    sets = sets.join(near, ["node", "digest"]).dropDuplicates(["node", "digest"]).select("key", "node", "hashes")
+    return copies.union(_exact_search(sets, similarity, block_rows))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, max_bits: int = 4, block_rows: int = 4096) -> DataFrame:

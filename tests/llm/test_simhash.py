@@ -130,3 +130,49 @@ def test_wide_chains_accept_exactly_the_near():
             row[b // 64] |= np.uint64(1 << int(b % 64))
     assert (simhash.wide_within(x, 53) == (np.bitwise_count(x).sum(axis=1) <= 53)).all()
     assert len(simhash.wide_within(x[:0], 53)) == 0
+
+
+def jaccard(a, b):
+    a, b = (set(simhash.shingle_set(t).tolist()) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_exact_links_have_the_components_of_all_pairs():
+    rng = np.random.default_rng(3)
+    sets, now = [], rng.permutation(5000)[:40]
+    for k in range(120):  # families that drift: neighbours are similar, the ends are not
+        now = np.r_[now[3:], rng.integers(5000, 10**9, 3)] if k % 15 else rng.permutation(5000)[:40]
+        sets.append(np.unique(now).astype(np.uint64))
+    a, b = simhash.exact_links(sets, 0.8)
+    share = lambda x, y: len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+    assert len(a) and all(share(sets[x], sets[y]) >= 0.8 for x, y in zip(a, b))
+    root = list(range(len(sets)))
+    for pairs in (zip(a.tolist(), b.tolist()), ((x, y) for x in range(120) for y in range(x) if share(sets[x], sets[y]) >= 0.8)):
+        for x, y in pairs:
+            root = [root[y] if r == root[x] else r for r in root]
+        if pairs.__class__ is zip:
+            linked = len(set(root))
+    assert linked == len(set(root)) < 120
+
+
+def test_links_under_the_similarity_are_not_taken(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for family in range(30):  # each copy changes 9 more of 300 words: 0.86 to its neighbours, 0.74 to the next but one
+        words = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        for k in range(3):
+            rows.append((10 * family + k, " ".join(words)))
+            for at in range(10 + 5 * k, 300, 33):
+                words[at] = f"x{k}"
+        rows.append((10 * family + 9, " ".join(w if at % 50 else "y" for at, w in enumerate(words))))
+    rows += [(5000 + i, t) for i, t in rows if i % 10 == 2 and i < 100]
+    texts = dict(rows)
+    want = {(i, j) for i in texts for j in texts if i < j and jaccard(texts[i], texts[j]) >= 0.8}
+    under = [(i, i + 2) for i in range(0, 300, 10) if 0.6 < jaccard(texts[i], texts[i + 2]) < 0.8]
+    assert len(under) > 20
+    docs = spark.createDataFrame([r for r in rows if r[0] % 10 != 1], SCHEMA)  # without the middle copies
+    for block_rows in (4096, 64):
+        links = {tuple(sorted(r)) for r in simhash.similar_links(docs, block_rows=block_rows).collect()}
+        assert links <= want and not links & set(under)
+    kept = {r.doc_id for r in simhash.deduplicate(docs).collect()}
+    assert all(j in kept for i, j in under)
