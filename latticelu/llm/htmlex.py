@@ -12,7 +12,7 @@ same way, in rounds of a bounded number a group.
 
 The wrapper's text slots carry the path of tags around them.  Slots inside menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments are
-boilerplate; if the wrapper has article or main regions, only slots inside them count.
+boilerplate; on a page with text in article or main regions, only slots inside them count.
 A page's text is read through its host's wrapper: a slot's verdict is the wrapper's.
 """
 
@@ -261,17 +261,16 @@ def _is_main(label: str) -> bool:
     return tag in MAIN or tag in ("div", "section") and any(n in MAIN for n in names)
 
 
-def content_slots(wrapper: tuple[Item, ...]) -> set[tuple[str, ...]]:
-    """The slots that hold main text."""
-    clean = set()
+def content_slots(wrapper: tuple[Item, ...]) -> dict[tuple[str, ...], bool]:
+    """The slots that can hold main text, and whether they are inside an article or main region."""
+    clean = {}
     for path in slots(wrapper):
         bad = [k for k, label in enumerate(path) if _boiler_label(label)]
         main = [k for k, label in enumerate(path) if _is_main(label)]
         # a header inside the article is its own; other boilerplate is none anywhere
         if all(main and main[0] < k and path[k] == "header" for k in bad):
-            clean.add(path)
-    inner = {p for p in clean if any(map(_is_main, p))}
-    return inner or clean
+            clean[path] = bool(main)
+    return clean
 
 
 # ---------------------------------------------------------------- as text, for tables
@@ -301,8 +300,12 @@ def expression(wrapper: tuple[Item, ...]) -> str:
     return "".join(parts)
 
 
-def extract_text(page: str, content: set[tuple[str, ...]]) -> str:
-    """The page's main text: the slots of `content`, blocks in order, one blank between."""
+def extract_text(page: str, content: dict[tuple[str, ...], bool]) -> str:
+    """The page's main text: the slots of `content`, blocks in order, one blank between.
+
+    If the page itself has text inside article or main regions, that alone; other pages of
+    its host have no say in it.
+    """
     path: list[str] = []
     out = []
     for name, raw in stream(page):
@@ -310,11 +313,12 @@ def extract_text(page: str, content: set[tuple[str, ...]]) -> str:
             path.append(name[1:])
         elif name[0] == ">":
             path.pop()
-        elif tuple(path) in content:
+        elif (inner := content.get(tuple(path))) is not None:
             block = _SPACE.sub(" ", raw).strip(" ")
             if block:
-                out.append(block)
-    return " ".join(out)
+                out.append((inner, block))
+    any_inner = any(inner for inner, _ in out)
+    return " ".join(block for inner, block in out if inner or not any_inner)
 
 
 # ---------------------------------------------------------------- tables
@@ -387,14 +391,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("_host"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, set] = {}
+        known: dict[str, dict] = {}
         for batch in batches:
             texts = []
             for page, wrapper in zip(batch.column(2), batch.column(3).to_pylist()):
                 if wrapper not in known:
                     if len(known) > 10_000:
                         known.clear()
-                    known[wrapper] = content_slots(load(wrapper)) if wrapper else set()
+                    known[wrapper] = content_slots(load(wrapper)) if wrapper else {}
                 texts.append(extract_text(page.as_py() or "", known[wrapper]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 

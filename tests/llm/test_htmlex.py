@@ -80,3 +80,9 @@ def test_wrappers_meet_over_tasks(spark):
     df = spark.createDataFrame(rows, SCHEMA).repartition(30)
     found = htmlex.infer_wrappers(df, group=4).collect()
     assert len(found) == 1 and htmlex.expression(htmlex.load(found[0].wrapper)) == "<article><p>#</p>(<h2>#</h2>)*</article>"
+
+
+def test_hosts_that_mix_templates_lose_no_page(spark):
+    rows = [(1, "http://h/", "<nav>m</nav><article><p>inner</p></article><div>outer</div>"), (2, "http://h/", "<nav>m</nav><div><p>no article</p></div><footer>f</footer>"), (3, "http://h/", "<main><p>in main</p></main>"), (4, None, "<article>a</article>"), (5, "no host", "<p>plain</p>"), (6, None, "text")]
+    want = {1: "inner", 2: "no article", 3: "in main", 4: "a", 5: "plain", 6: "text"}
+    assert {r.page_id: r.text for r in htmlex.extract(spark.createDataFrame(rows, SCHEMA)).collect()} == want
