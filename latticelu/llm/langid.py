@@ -4,7 +4,11 @@ Character n-grams (1 to 3 letters, words padded by a blank) are hashed into `DIM
 columns, weighted by TF-IDF and scaled to length one.  Each language has several
 centroids, found by spherical k-means over its training vectors; a text takes the
 language of the centroid with the highest cosine.  A text whose cosine distance to
-every centroid is over `max_distance` is rejected.
+every centroid is over `max_distance` is rejected, and so is one whose cosine is under its
+language's floor.  The floor comes from the training rows' own cosines (`FLOOR_SHARE` of
+their 1 % quantile), since hash collisions alone give long texts of any script a cosine
+that grows with their length; for n n-grams it is multiplied by n / (n + `FLOOR_GRAMS`), for
+few n-grams of a language score low too.
 
 Training reads at most `per_language` labelled rows a language (those with the least
 seeded hash of their id) of at most `max_languages` languages (those with most rows),
@@ -27,6 +31,8 @@ DIMS = 4096
 _CHUNK = 1 << 20
 _MULT = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
 UNKNOWN = "und"
+FLOOR_SHARE, FLOOR_GRAMS = 0.55, 50
+FLOOR_ROWS = 20  # a language of fewer training rows takes the least floor of the others, if any has one
 
 
 @lru_cache(maxsize=1)
@@ -75,6 +81,7 @@ class Centroids:
     languages: list[str]  # of each centroid
     centers: np.ndarray  # centroids x dims, rows of length one
     idf: np.ndarray
+    floors: list[float]  # least cosine of each centroid's language in long texts
 
 
 def _k_means(x: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
@@ -118,24 +125,29 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
         x[i, at.values.to_numpy()] = n.values.to_numpy()
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
     x = np.stack([vector(r, idf) for r in x]) if len(x) else x
-    langs, centers = [], []
+    langs, centers, floors = [], [], []
     for name in sorted(set(labels)):
         own = x[[k for k, label in enumerate(labels) if label == name]]
         c = _k_means(own, centroids, seed)
         langs += [name] * len(c)
+        floors += [FLOOR_SHARE * float(np.quantile((own @ c.T).max(axis=1), 0.01)) if len(own) >= FLOOR_ROWS else None] * len(c)
         centers.append(c)
-    return Centroids(langs, np.concatenate(centers) if centers else np.zeros((0, DIMS), np.float32), idf)
+    least = min((f for f in floors if f is not None), default=0.0)
+    floors = [least if f is None else f for f in floors]
+    return Centroids(langs, np.concatenate(centers) if centers else np.zeros((0, DIMS), np.float32), idf, floors)
 
 
-def classify(text: str | None, model: Centroids) -> tuple[str, float]:
+def classify(text: str | None, model: Centroids) -> tuple[str, float, bool]:
+    """(language, cosine, whether the cosine reaches the language's floor)."""
     if not text:
-        return UNKNOWN, 0.0
+        return UNKNOWN, 0.0, False
     counts, any_letter = _counts(text)
     if not any_letter or not model.languages:
-        return UNKNOWN, 0.0
+        return UNKNOWN, 0.0, False
     near = model.centers @ vector(counts, model.idf)
-    best = int(np.argmax(near))
-    return model.languages[best], min(1.0, max(0.0, round(float(near[best]), 6)))
+    best, n = int(np.argmax(near)), int(counts.sum())
+    score = min(1.0, max(0.0, round(float(near[best]), 6)))
+    return model.languages[best], score, score >= model.floors[best] * n / (n + FLOOR_GRAMS)
 
 
 def predict(spark: SparkSession, model: Centroids, text: Column, max_distance: float = 0.95) -> Column:
@@ -152,7 +164,7 @@ def predict(spark: SparkSession, model: Centroids, text: Column, max_distance: f
         import pandas as pd
 
         model = shared.value
-        rows = [(name, score, name == UNKNOWN or 1 - score > max_distance) for name, score in (classify(t, model) for t in texts)]
+        rows = [(name, score, not known or 1 - score > max_distance) for name, score, known in (classify(t, model) for t in texts)]
         return pd.DataFrame(rows, columns=["lang_pred", "lang_score", "lang_rejected"])
 
     return of(text)

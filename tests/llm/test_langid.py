@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from latticelu.llm import langid
 from pyspark.sql import functions as F
@@ -45,3 +47,15 @@ def test_nulls_clashing_names_and_empty_tables(spark):
     none = langid.fit(df.limit(0))
     assert {r.lang_pred for r in langid.identify(df, none).collect()} == {"und"}
     assert langid.identify(df.limit(0), model).count() == 0
+
+
+def test_long_texts_of_unlearned_scripts_and_noise_are_rejected(fitted):
+    _, model = fitted
+    rng = random.Random(1)
+    alphabets = {"Cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "Greek": "αβγδεζηθικλμνξοπρστυφχψω", "CJK": [chr(0x4E00 + k) for k in range(1024)], "noise": "abcdefghijklmnopqrstuvwxyz"}
+    for name, letters in alphabets.items():
+        for n in (30, 100, 500, 2000) if name != "noise" else (30, 100):
+            text = " ".join("".join(rng.choices(letters, k=rng.randint(3, 9))) for _ in range(n))
+            language, score, known = langid.classify(text, model)
+            assert not known, (name, n, language, score)
+    assert not langid.classify("Сегодня утром мы поехали за город и долго гуляли в лесу. Вечером все вернулись домой и пили чай.", model)[2]
