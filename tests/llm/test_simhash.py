@@ -158,11 +158,11 @@ def test_exact_links_have_the_components_of_all_pairs():
 def test_links_under_the_similarity_are_not_taken(spark):
     rng = np.random.default_rng(4)
     rows = []
-    for family in range(30):  # each copy changes 9 more of 300 words: 0.86 to its neighbours, 0.74 to the next but one
+    for family in range(30):  # each copy changes 4 more of 300 words: 0.87 to its neighbours, 0.76 to the next but one
         words = [f"w{x}" for x in rng.integers(0, 5000, 300)]
         for k in range(3):
             rows.append((10 * family + k, " ".join(words)))
-            for at in range(10 + 5 * k, 300, 33):
+            for at in range(10 + 15 * k, 300, 75):
                 words[at] = f"x{k}"
         rows.append((10 * family + 9, " ".join(w if at % 50 else "y" for at, w in enumerate(words))))
     rows += [(5000 + i, t) for i, t in rows if i % 10 == 2 and i < 100]
