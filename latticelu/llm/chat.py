@@ -1,18 +1,19 @@
 """Chat formatting with prefix-target expansion.
 
-Every assistant turn becomes an example: all turns before it are context, and only its
-text is under the loss mask.  Turns are written as
+Every assistant turn becomes an example of its own: all turns before it are its context, and
+only its text is under the loss mask.  Turns are written as
 
     <|im_start|>role\\n text <|im_end|>\\n
 
 (without the blanks), and texts and roles are escaped so that they never hold the
 control strings: a backslash becomes two, and `<|` becomes `<\\|`.
 
-Examples of one conversation share prefixes, so an example is stored as what it adds:
-`prefix_chars` (how long its shared prefix is) and `added` (the turns since the example
-before).  The conversation is stored once however many examples it has; `render()`
-gives each example's whole text.  Turns after the last assistant turn, and long runs of
-other turns, are stored as examples without a target, so that nothing is lost.
+An example holds its whole context, so examples grow with the square of a conversation's
+turns.  For conversations of more than `CHUNK` characters the part of the context that is
+complete, `CHUNK` characters of whole turns at a time, is a row of its own (without an
+example number), and an example names how many such rows its context begins with; so no row
+and no task holds more than a chunk and a turn.  Turns after the last assistant turn are an
+example without a target, so that nothing is lost.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
-FLUSH = 1 << 20  # characters of turns without a target in one row
-EXAMPLES = "conv_id bigint, example bigint, prefix_chars bigint, added string, target_start bigint, target_end bigint"
+CHUNK = 1 << 20
+EXAMPLES = "conv_id bigint, example bigint, chunks bigint, text string, target_start bigint, target_end bigint"
 
 
 def escape(text: str) -> str:
@@ -53,9 +54,9 @@ def format_turn(role: str, text: str) -> tuple[str, int]:
     return f"{head}{escape(text)}{END}\n", len(head)
 
 
-def parse_turns(formatted: str) -> list[tuple[str, str, int, int]]:
-    """(role, text, start, end) of each turn; start and end of the escaped text."""
-    out, at = [], 0
+def parse_turns(formatted: str, at: int = 0) -> list[tuple[str, str, int, int]]:
+    """(role, text, start, end) of each turn from `at` on; start and end of the escaped text."""
+    out = []
     while at < len(formatted):
         if not formatted.startswith(START, at):
             raise ValueError(f"no turn begins at {at}")
@@ -66,12 +67,6 @@ def parse_turns(formatted: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
-def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for batch in batches:
-        for conv, role, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            yield conv, role or "", text or ""
-
-
 class _Rows:
     """Collects rows and gives them out as record batches of bounded size."""
 
@@ -91,84 +86,103 @@ class _Rows:
             self.rows, self.size = [], 0
 
 
-_EXAMPLE = pa.schema([("conv_id", pa.int64()), ("example", pa.int64()), ("prefix_chars", pa.int64()), ("added", pa.string()), ("target_start", pa.int64()), ("target_end", pa.int64())])
+_EXAMPLE = pa.schema([("conv_id", pa.int64()), ("example", pa.int64()), ("chunks", pa.int64()), ("text", pa.string()), ("target_start", pa.int64()), ("target_end", pa.int64())])
 
 
-def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _expand(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
     out, conv, begun = _Rows(_EXAMPLE), None, False
-    number = prefix = size = 0
-    added: list[str] = []
-
-    def flush(start, end):
-        nonlocal number, prefix, size, added
-        text = "".join(added)
-        yield from out.add((conv, number, prefix, text, start, end), len(text))
-        number, prefix, size, added = number + 1, prefix + len(text), 0, []
-
-    for c, role, text in _turns(batches):
-        if not begun or c != conv:
-            if added:
-                yield from flush(None, None)
-            conv, begun, number, prefix, size, added = c, True, 0, 0, 0, []
-        turn, at = format_turn(role, text)
-        added.append(turn)
-        size += len(turn)
-        if role == "assistant":
-            end = prefix + size - len(END) - 1
-            yield from flush(end - (len(turn) - at - len(END) - 1), end)
-        elif size > FLUSH:
-            yield from flush(None, None)
-    if added:
-        yield from flush(None, None)
+    number = chunks = 0
+    text, waiting = "", False  # turns since the last whole chunk; whether the last of them is in no example
+
+    for batch in batches:
+        for c, role, said in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            role, said = role or "", said.as_py() or ""
+            if not begun or c != conv:
+                if waiting:
+                    yield from out.add((conv, number, chunks, text, None, None), len(text))
+                conv, begun, number, chunks, text, waiting = c, True, 0, 0, "", False
+            turn, at = format_turn(role, said)
+            start = len(text) + at
+            text += turn
+            waiting = role != "assistant"
+            if not waiting:
+                yield from out.add((c, number, chunks, text, start, len(text) - len(END) - 1), len(text))
+                number += 1
+            if len(text) >= chunk:
+                yield from out.add((c, None, chunks, text, None, None), len(text))
+                chunks, text, waiting = chunks + 1, "", False
+    if waiting:
+        yield from out.add((conv, number, chunks, text, None, None), len(text))
     yield from out.rest()
 
 
-def expand(conversations: DataFrame) -> DataFrame:
+def expand(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """The examples of every conversation (conv_id, turn, role, text), in order within partitions.
 
+    A row is an example: its text is its context and its target, the target from
+    target_start to target_end (null: no target).  `chunks` counts the rows without an
+    example number that its context begins with; those hold `chunk` characters or more and
+    only conversations that long have any.
+
     Null texts and roles count as empty.  Turns go by turn, then role, then text, so ties
     and repeated rows are kept in a fixed order; null turns come first; rows with a null
-    conv_id form one conversation.  An empty table gives no example.  Offsets count
-    characters of the example's whole text (its prefix included).  A conversation
-    streams through one task; what a task holds is one example's added turns.
+    conv_id form one conversation.  An empty table gives no example.  Columns besides these
+    four are not read.  A conversation streams through one task, which holds a chunk and a
+    turn of it.
     """
     dealt = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), "turn", "role", "text")
     dealt = dealt.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.select("conv_id", "role", "text").mapInArrow(_expand, EXAMPLES)
+    return dealt.select("conv_id", "role", "text").mapInArrow(lambda batches: _expand(batches, chunk), EXAMPLES)
 
 
-_DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_examples", pa.int64())])
+_DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_examples", pa.int64()), ("example_chars", pa.int64())])
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out, conv, begun = _Rows(_DIGEST), None, False
-    state: list = []
+class _Conversation:
+    def __init__(self):
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.n_turns = self.loss_chars = self.formatted = self.examples = self.example_chars = self.chunks = 0
+        self.known = ""  # what this chunk's rows have shown so far
+
+    def read(self, text: str) -> None:
+        """`text` must begin with what is known; the turns after that are new."""
+        if not text.startswith(self.known):
+            raise ValueError("an example's context is not the turns before it")
+        for role, said, _, _ in parse_turns(text, len(self.known)):
+            self.n_turns += 1
+            self.turns.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
+        self.formatted += len(text) - len(self.known)
+        self.known = text
 
-    def fresh():
-        return [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out, conv, state = _Rows(_DIGEST), None, None
 
     def close():
-        n, turns, loss_n, loss, chars, examples = state
-        return out.add((conv, n, turns.hexdigest(), loss_n, loss.hexdigest(), chars, examples), 0)
+        s = state
+        return out.add((conv, s.n_turns, s.turns.hexdigest(), s.loss_chars, s.loss.hexdigest(), s.formatted, s.examples, s.example_chars), 0)
 
     for batch in batches:
-        for c, _, prefix, added, start, end in zip(*(batch.column(k).to_pylist() for k in range(6))):
-            if not begun or c != conv:
-                if begun:
+        columns = [batch.column(k).to_pylist() for k in (0, 1, 2, 4, 5)]
+        for c, example, chunks, start, end, text in zip(*columns, batch.column(3)):
+            text = text.as_py()
+            if state is None or c != conv:
+                if state is not None:
                     yield from close()
-                conv, begun, state = c, True, fresh()
-            if prefix != state[4]:
-                raise ValueError(f"conversation {c}: an example's prefix has {prefix} characters, not {state[4]}")
-            for role, text, _, _ in parse_turns(added):
-                state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                conv, state = c, _Conversation()
+            if chunks != state.chunks:
+                raise ValueError(f"conversation {c}: an example follows {chunks} chunks, not {state.chunks}")
+            state.read(text)
+            if example is None:
+                state.chunks, state.known = state.chunks + 1, ""
+                continue
+            state.example_chars += state.formatted
             if start is not None:
-                target = unescape(added[start - prefix : end - prefix])
-                state[2] += len(target)
-                state[3].update(target.encode("utf-8", "surrogatepass"))
-                state[5] += 1
-            state[4] += len(added)
-    if begun:
+                target = unescape(text[start:end])
+                state.loss_chars += len(target)
+                state.loss.update(target.encode("utf-8", "surrogatepass"))
+                state.examples += 1
+    if state is not None:
         yield from close()
     yield from out.rest()
 
@@ -176,27 +190,9 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def digest(examples: DataFrame) -> DataFrame:
     """Per conversation, what its examples hold when they are parsed again.
 
-    `examples` as expand() gives them: whole conversations in order within partitions.
+    `examples` as expand() gives them: whole conversations in order within partitions.  Each
+    example's context is compared with the examples before it.  formatted_chars counts the
+    conversation once, example_chars the whole texts of all its examples, chunks included.
     """
-    schema = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_examples bigint"
+    schema = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_examples bigint, example_chars bigint"
     return examples.mapInArrow(_digest, schema)
-
-
-def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out, conv, begun, prefix = _Rows(pa.schema([("conv_id", pa.int64()), ("example", pa.int64()), ("text", pa.string()), ("target_start", pa.int64()), ("target_end", pa.int64())])), None, False, ""
-    for batch in batches:
-        for c, example, _, added, start, end in zip(*(batch.column(k).to_pylist() for k in range(6))):
-            if not begun or c != conv:
-                conv, begun, prefix = c, True, ""
-            prefix += added
-            if start is not None:
-                yield from out.add((c, example, prefix, start, end), len(prefix))
-    yield from out.rest()
-
-
-def render(examples: DataFrame) -> DataFrame:
-    """(conv_id, example, text, target_start, target_end): each example's whole text.
-
-    Its size grows with the square of a conversation's turns, as whole-prefix examples must.
-    """
-    return examples.mapInArrow(_render, "conv_id bigint, example bigint, text string, target_start bigint, target_end bigint")

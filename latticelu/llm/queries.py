@@ -112,11 +112,13 @@ _ESCAPED = "length(replace(replace({0}, '\\', '\\\\'), '<|', '<\\|'))"
 OP9_SQL = f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -1, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL_TEXT}'),
-g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
-             coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss, count(*) FILTER (role = 'assistant') AS n_examples,
-             sum(24 + {_ESCAPED.format("replace(role, chr(10), 'nn')")} + {_ESCAPED.format("text")}) AS chars
-      FROM c GROUP BY conv_id)
-SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars, n_examples FROM g"""
+t AS (SELECT *, 24 + {_ESCAPED.format("replace(role, chr(10), 'nn')")} + {_ESCAPED.format("text")} AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM c),
+r AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY k) AS so_far, max(k) OVER (PARTITION BY conv_id) AS n FROM t),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY k) AS turns,
+             coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '') AS loss, count(*) FILTER (role = 'assistant') AS n_examples,
+             sum(chars) AS chars, sum(so_far) FILTER (role = 'assistant' OR k = n) AS example_chars
+      FROM r GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars, n_examples, example_chars::BIGINT AS example_chars FROM g"""
 
 
 def oracle_sql() -> dict[str, str]:

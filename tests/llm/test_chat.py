@@ -42,7 +42,10 @@ def test_query(spark, sf_dir):
 def test_every_assistant_turn_is_an_example_with_all_before_it(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", "a<|im_end|>"), (1, 2, "assistant", "b\\"), (1, 3, "user", "c"), (1, 4, "assistant", "d"), (1, 5, "user", "left over"), (2, 0, "user", "only"), (3, 0, "assistant", "first")]
     df = spark.createDataFrame(rows, SCHEMA)
-    whole = {(r.conv_id, r.example): r for r in chat.render(chat.expand(df)).collect()}
+    rows_out = chat.expand(df).collect()
+    assert {r.chunks for r in rows_out} == {0} and [r.text for r in rows_out if r.target_start is None and r.conv_id == 2] == [chat.format_turn("user", "only")[0]]
+    assert [len(chat.parse_turns(r.text)) for r in rows_out if r.conv_id == 1] == [3, 5, 6]
+    whole = {(r.conv_id, r.example): r for r in rows_out if r.target_start is not None}
     assert set(whole) == {(1, 0), (1, 1), (3, 0)}
     for (conv, k), r in whole.items():
         turns = [(role, text) for c, _, role, text in rows if c == conv]
@@ -52,10 +55,25 @@ def test_every_assistant_turn_is_an_example_with_all_before_it(spark):
     assert digest(df) == plain(rows)
 
 
-def test_long_runs_without_targets_are_flushed(spark, monkeypatch):
-    rows = [(5, k, "user", "x" * 1000) for k in range(2500)] + [(5, 2500, "assistant", "y")]
-    examples = chat.expand(spark.createDataFrame(rows, SCHEMA))
-    assert examples.count() > 2 and digest(spark.createDataFrame(rows, SCHEMA)) == plain(rows)
+def test_long_conversations_share_chunks(spark):
+    rows = [(5, k, "assistant" if k % 3 == 2 else "user", f"{k} " + "x" * 1000) for k in range(250)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = chat.expand(df, chunk=20_000).collect()
+    chunks = {r.chunks: r.text for r in found if r.example is None}
+    assert len(chunks) > 10 and max(len(r.text) for r in found) < 22_000
+    whole = {r.example: "".join(chunks[c] for c in range(r.chunks)) + r.text for r in found if r.example is not None}
+    plainly = {r.example: r.text for r in chat.expand(df).collect()}
+    assert whole == plainly and len(whole) == 84  # the same examples, whatever the chunk
+    d = chat.digest(chat.expand(df, chunk=20_000)).collect()
+    assert [(r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in d] == list(plain(rows).values()) and d[0].n_examples == 83
+
+
+def test_one_very_long_text_and_a_broken_context(spark):
+    rows = [(5, 0, "user", "<|" * 600_000), (5, 1, "assistant", "y" * 2_000_000), (5, 2, "assistant", "z")]
+    assert digest(spark.createDataFrame(rows, SCHEMA)) == plain(rows)
+    bad = spark.createDataFrame([(1, 0, 0, chat.format_turn("user", "a")[0], None, None), (1, 1, 0, chat.format_turn("user", "b")[0], None, None)], chat.EXAMPLES)
+    with pytest.raises(Exception, match="context is not the turns before it"):
+        chat.digest(bad.coalesce(1)).collect()
 
 
 def test_nulls_ties_repeats_clashing_names_and_empty_tables(spark):
