@@ -92,7 +92,7 @@ _EXAMPLE = pa.schema([("conv_id", pa.int64()), ("example", pa.int64()), ("chunks
 def _expand(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
     out, conv, begun = _Rows(_EXAMPLE), None, False
     number = chunks = 0
-    text, waiting = "", False  # turns since the last whole chunk; whether the last of them is in no example
+    text, waiting = "", False  # turns since the last whole chunk; whether the last turn is in no example
 
     for batch in batches:
         for c, role, said in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -110,7 +110,7 @@ def _expand(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.Record
                 number += 1
             if len(text) >= chunk:
                 yield from out.add((c, None, chunks, text, None, None), len(text))
-                chunks, text, waiting = chunks + 1, "", False
+                chunks, text = chunks + 1, ""
     if waiting:
         yield from out.add((conv, number, chunks, text, None, None), len(text))
     yield from out.rest()

@@ -62,13 +62,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.round_trip(read(spark, sf_dir, "pages"), min_revisit_bytes=0)
-    return found.select(
-        F.col("page").alias("page_id"),
-        F.col("metadata.payload_bytes").alias("payload_bytes"),
-        F.coalesce("response.payload_digest", "response.stated_digest").alias("payload_digest"),
-        F.col("response.kind").alias("record_type"),
-        F.col("metadata.refers_page").alias("refers_to"),
-    )
+    return found.select(F.col("page").alias("page_id"), "payload_bytes", "payload_digest", F.col("response.kind").alias("record_type"), F.col("refers_page").alias("refers_to"))
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,11 +95,11 @@ def queries() -> dict:
 # base32 by groups of twenty bits: five hex digits are four letters
 OP7_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
-d AS (SELECT page_id, strlen(h) AS bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+d AS (SELECT page_id, strlen(h) AS bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first, row_number() OVER (PARTITION BY h ORDER BY page_id) AS k FROM p)
 SELECT page_id, bytes::BIGINT AS payload_bytes,
        array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + ((('0x' || substr(x, (1 + (k // 4) * 5)::BIGINT, 5))::INTEGER >> (15 - 5 * (k % 4))::INTEGER) & 31))::BIGINT, 1)), '') AS payload_digest,
-       CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN first <> page_id THEN first END AS refers_to
+       CASE WHEN k = 1 OR page_id IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN k > 1 AND page_id IS NOT NULL THEN first END AS refers_to
 FROM d"""
 
 _ESCAPED = "length(replace(replace({0}, '\\', '\\\\'), '<|', '<\\|'))"
