@@ -11,7 +11,8 @@ chain length l = 1..m (the strong pigeonring principle).  With t = 4 and m = 5 t
 budgets are 0, 1, 2, 3, 4: segment i is equal and segment i+1 differs in one bit at
 most, so one half of segment i+1 is equal too.  The join key is therefore
 (i, segment i, half of segment i+1) - about 20 bits, ten keys per fingerprint - and
-every candidate passes the rest of the chain before it counts.
+every candidate is led along the rest of the chain, segment by segment, and leaves where it
+is over a budget; the last length is the full Hamming check.
 
 Scale.  Exact copies collapse to one fingerprint before the search (partial
 aggregation).  A bucket is never expanded into all its pairs: inside a bucket a
@@ -20,19 +21,23 @@ breadth-first walk emits one star per connected group.  A bucket of more than
 of its own, so no bucket is gathered whole and no link is lost.
 
 Similarity.  Copies that share 0.8 of their shingles differ in about ten of 64 bits, where
-ring segments are too short to search by.  `similar_links` therefore makes a wider
-fingerprint (`WIDE` bits, of the distinct shingles), takes documents that share one of
-their `ANCHORS` least shingle hashes as candidates (two sets of that similarity share
-none with probability 0.2 ** 8 at most), and searches them for pairs whose differences pass
-the chains of budgets over the wide ring.  That estimate also lets less similar pairs
-through, so it only forms groups: within each, the distinct shingle hashes themselves are
-compared, and a link is a pair whose exact similarity is enough.
+ring segments are too short to search by.  `similar_links` therefore lays the ring over the
+sets of shingles themselves, whose Hamming distance is what the similarity bounds: shingles
+are dealt over the ring's segments by hash, and a chain begins at a segment without a
+difference, whose content is the join key (set_keys()).  A key holds a few shingles that a
+passage shared by chance rarely fills alone, so there are no hot anchors.  Documents that
+share a key are compared by chains of budgets over a wider fingerprint (`WIDE` bits, of the
+distinct shingles), segment by segment.  That estimate also lets less similar pairs through,
+so it only forms groups: within each, the distinct shingle hashes themselves are compared,
+and a link is a pair whose exact similarity is enough.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,13 +55,18 @@ SEGMENTS = len(WIDTHS)
 _CHUNK = 1 << 15
 #: Bits of the wide fingerprint, and how many 32-bit segments its ring has.
 WIDE, WIDE_SEGMENTS = 256, 8
-ANCHORS = 8
+#: Segments without a difference that a ring must be expected to have (or one for certain).
+ALIKE = 8
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
-def shingle_digests(text: str | None, shingle_words: int) -> Iterator[bytes]:
+def split_words(text: str | None) -> list[bytes]:
+    """The words, A-Z in lower case; null has none."""
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+def shingle_digests(words: list[bytes], shingle_words: int) -> Iterator[bytes]:
     """XXH64 of every shingle, repeats included, 8 bytes each, in chunks."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return
     line = b" ".join(words)
@@ -67,7 +77,6 @@ def shingle_digests(text: str | None, shingle_words: int) -> Iterator[bytes]:
     ends = np.cumsum(lengths) - 1
     starts = ends - lengths + 1
     a, b = starts[: len(words) - shingle_words + 1].tolist(), ends[shingle_words - 1 :].tolist()
-    del words
     digest = xxhash.xxh64_digest
     for at in range(0, len(a), _CHUNK):
         yield b"".join([digest(line[x:y], SEED) for x, y in zip(a[at : at + _CHUNK], b[at : at + _CHUNK])])
@@ -75,8 +84,12 @@ def shingle_digests(text: str | None, shingle_words: int) -> Iterator[bytes]:
 
 def fingerprint(text: str | None, shingle_words: int = 4) -> bytes:
     """The fingerprint, 8 bytes from the highest; null or wordless text: zero."""
+    return _fingerprint(split_words(text), shingle_words)
+
+
+def _fingerprint(words: list[bytes], shingle_words: int) -> bytes:
     votes, count = np.zeros(64, np.int64), 0
-    for got in shingle_digests(text, shingle_words):
+    for got in shingle_digests(words, shingle_words):
         bits = np.unpackbits(np.frombuffer(got, np.uint8).reshape(-1, 8), axis=1)
         votes += bits.sum(axis=0, dtype=np.int32)
         count += len(bits)
@@ -85,7 +98,11 @@ def fingerprint(text: str | None, shingle_words: int = 4) -> bytes:
 
 def shingle_set(text: str | None, shingle_words: int = 5) -> np.ndarray:
     """The distinct shingles' hashes, sorted."""
-    parts = [np.frombuffer(got, ">u8").astype(np.uint64) for got in shingle_digests(text, shingle_words)]
+    return _shingle_set(split_words(text), shingle_words)
+
+
+def _shingle_set(words: list[bytes], shingle_words: int) -> np.ndarray:
+    parts = [np.frombuffer(got, ">u8").astype(np.uint64) for got in shingle_digests(words, shingle_words)]
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
@@ -94,19 +111,14 @@ def set_digest(h: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(h.tobytes())
 
 
-def wide_sketch(h: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """(fingerprint of WIDE bits, least shingle hashes) of a set of shingles."""
+def wide_sketch(h: np.ndarray) -> bytes:
+    """The fingerprint of WIDE bits of a set of shingles."""
     votes = np.zeros(WIDE, np.int64)
     for at in range(0, len(h), _CHUNK):
         own = h[at : at + _CHUNK]
-        words = np.empty((len(own), WIDE // 64), np.uint64)
-        for k in range(WIDE // 64):  # a finaliser of the hash plus k steps
-            z = own + np.uint64(int(_MIX[0]) * (k + 1) % 2**64)
-            z = (z ^ (z >> np.uint64(30))) * _MIX[1]
-            z = (z ^ (z >> np.uint64(27))) * _MIX[2]
-            words[:, k] = z ^ (z >> np.uint64(31))
+        words = np.stack([_mixed(own, k) for k in range(WIDE // 64)], axis=1)
         votes += np.unpackbits(words.view(np.uint8).reshape(len(own), -1), axis=1).sum(axis=0, dtype=np.int32)
-    return np.packbits(2 * votes > len(h)).tobytes(), h[:ANCHORS].view(np.int64)
+    return np.packbits(2 * votes > len(h)).tobytes()
 
 
 def wide_budget(similarity: float) -> int:
@@ -141,50 +153,136 @@ def ring_keys(fp: Column) -> Column:
         j = (i + 1) % SEGMENTS
         upper = WIDTHS[j] // 2
         for half, (at, bits) in enumerate(((low[j] + WIDTHS[j] - upper, upper), (low[j], WIDTHS[j] - upper))):
-            tag = F.lit((2 * i + half) << 40).cast("bigint")
+            tag = F.lit((2 * i + half) << _TAG).cast("bigint")
             keys.append(tag + F.shiftleft(seg(low[i], WIDTHS[i]), 20) + seg(at, bits))
     return F.array(*keys)
 
 
-def within(x: np.ndarray, max_bits: int) -> np.ndarray:
-    """True where the differing bits `x` pass a whole chain of budgets (hence max_bits)."""
-    near = np.flatnonzero(np.bitwise_count(x) <= max_bits)
-    parts = [np.bitwise_count((x[near] >> np.uint64(a)) & np.uint64((1 << w) - 1)) for a, w in zip(_offsets(), WIDTHS)]
-    found = np.zeros(len(x), bool)
-    found[near] = chains(parts, max_bits)
-    return found
+def chain_passes(parts: Callable[[int], np.ndarray], rows: np.ndarray, starts: np.ndarray, segments: int, max_diff: int, pruned: np.ndarray | None = None) -> np.ndarray:
+    """The rows whose chain from their start keeps within the proportional budgets to its end.
 
+    `parts(k, rows)` gives the differences of those rows in segment k.  A chain of length l
+    may have floor(l * max_diff / segments) differences; rows over it leave at once, so the
+    later segments of most rows are never looked at.  What passes the last length has had
+    the full check.  `pruned`, if given, counts the rows that left at each length.
+    """
+    total = np.zeros(len(rows), np.int64)
+    for length in range(1, segments + 1):
+        total += parts((starts + length - 1) % segments, rows)
+        ok = total <= length * max_diff // segments
+        if pruned is not None:
+            pruned[length - 1] += int((~ok).sum())
+        if not ok.all():
+            rows, starts, total = rows[ok], starts[ok], total[ok]
+        if not len(rows):
+            break
+    return rows
 
-def chains(parts: list[np.ndarray], max_bits: int) -> np.ndarray:
-    """True where the segments' differences pass a whole chain of budgets (hence max_bits)."""
-    m = len(parts)
-    found = np.zeros(len(parts[0]), bool)
-    for i in range(m):
-        total, ok = np.zeros(len(parts[0]), np.int64), np.ones(len(parts[0]), bool)
-        for length in range(1, m + 1):
-            total += parts[(i + length - 1) % m]
-            ok &= total <= length * max_bits // m
-        found |= ok
+
+_LOW = np.array([64 - sum(WIDTHS[: i + 1]) for i in range(SEGMENTS)], np.uint64)
+_MASK = np.array([(1 << w) - 1 for w in WIDTHS], np.uint64)
+
+
+def within(x: np.ndarray, max_bits: int, start: np.ndarray | int, pruned: np.ndarray | None = None) -> np.ndarray:
+    """True where the differing bits `x` keep within the budgets of the chain that begins at segment `start` (of each row, or of all).
+
+    Two fingerprints of at most max_bits differing bits pass for some start, namely that of
+    a key they share; what passes differs in at most max_bits bits.
+    """
+    found = np.zeros(len(x), bool)
+    parts = lambda k, rows: np.bitwise_count((x[rows] >> _LOW[k]) & _MASK[k])
+    found[chain_passes(parts, np.arange(len(x)), np.broadcast_to(start, len(x)), SEGMENTS, max_bits, pruned)] = True
     return found
 
 
-def wide_within(x: np.ndarray, max_bits: int) -> np.ndarray:
-    """chains() of rows of differing bits, four 64-bit words each."""
-    near = np.flatnonzero(np.bitwise_count(x).sum(axis=1) <= max_bits)
-    counts = np.bitwise_count(np.ascontiguousarray(x[near]).view(np.uint32))
+def wide_within(x: np.ndarray, max_bits: int, start: np.ndarray | int = 0, pruned: np.ndarray | None = None) -> np.ndarray:
+    """True for rows of differing bits (four 64-bit words each) with a chain, from any segment, within its budgets; `start` is not used."""
+    words = np.ascontiguousarray(x).view(np.uint32)
     found = np.zeros(len(x), bool)
-    found[near] = chains([counts[:, k] for k in range(WIDE_SEGMENTS)], max_bits)
+    parts = lambda k, rows: np.bitwise_count(words[rows, k])
+    for begin in range(WIDE_SEGMENTS):  # each start tries what no other has found
+        rest = np.flatnonzero(~found)
+        if not len(rest):
+            break
+        found[chain_passes(parts, rest, np.full(len(rest), begin), WIDE_SEGMENTS, max_bits, pruned)] = True
     return found
 
 
-def bucket_links(fps: np.ndarray, max_bits: int, within: Callable = within) -> tuple[np.ndarray, np.ndarray]:
+# ---------------------------------------------------------------- rings of shingle sets
+
+
+def set_budget(larger: int, similarity: float) -> int:
+    """Most shingles in which two sets of at most `larger` shingles differ at this similarity."""
+    return int(2 * larger * (1 - similarity) / (1 + similarity) + 1e-9)
+
+
+@lru_cache(maxsize=4096)
+def ring_segments(budget: int) -> int:
+    """Segments of the ring for sets that differ in at most `budget` shingles.
+
+    One more than the budget always leaves a segment without a difference.  For large
+    budgets fewer do: shingles are dealt over the segments by hash, so segment after
+    segment has none with probability exp(-budget / segments), and enough segments are
+    taken to expect `ALIKE` of them.
+    """
+    m = 1
+    while m < budget + 1 and m * math.exp(-budget / m) < ALIKE:
+        m += max(1, m // 32)
+    return min(m, budget + 1)
+
+
+@lru_cache(maxsize=64)
+def _class_bounds(similarity: float) -> list[int]:
+    """Least sizes of the size classes; a set is at most 1 / similarity times the size of another it is similar to."""
+    bounds = [1]
+    while bounds[-1] < 1 << 40:
+        bounds.append(max(bounds[-1] + 1, int(bounds[-1] / similarity)))
+    return bounds
+
+
+def set_keys(h: np.ndarray, similarity: float) -> np.ndarray:
+    """The ring keys of a set of distinct shingle hashes, as int64.
+
+    A pair of similar sets is compared in the class of the larger.  A set therefore has
+    keys in its own class, and in those above that hold sets it can be similar to.  In a
+    class, the ring's segments are those of its budget, and the key of a segment is the
+    hash of what the set has there: two sets share it where their chain of budgets begins,
+    at a segment without a difference.  Empty segments are no evidence and give no key; to
+    make up for them small sets are dealt over several rings.
+    """
+    bounds = _class_bounds(similarity)
+    own = bisect.bisect_right(bounds, len(h)) - 1
+    out = []
+    for c in range(own, len(bounds) - 1):
+        if bounds[c] * similarity > len(h) + 1e-9 and c > own:
+            break
+        m = ring_segments(set_budget(bounds[c + 1] - 1, similarity))
+        for ring in range(4 if m <= 8 else 2 if m <= 32 else 1):
+            z = _mixed(h, 2 * (64 * c + ring))
+            at = (z % np.uint64(m)).astype(np.int64)
+            sums = np.zeros(m, np.uint64)
+            np.add.at(sums, at, _mixed(h, 2 * (64 * c + ring) + 1))
+            full = np.flatnonzero(np.bincount(at, minlength=m))
+            out.append(_mixed(sums[full] ^ (full.astype(np.uint64) << np.uint64(32)), 64 * c + ring))
+    return np.concatenate(out).view(np.int64)
+
+
+def _mixed(z: np.ndarray, step: int) -> np.ndarray:
+    """A finaliser of each value plus so many steps."""
+    z = z + np.uint64((int(_MIX[0]) * (step + 1)) % 2**64)
+    z = (z ^ (z >> np.uint64(30))) * _MIX[1]
+    z = (z ^ (z >> np.uint64(27))) * _MIX[2]
+    return z ^ (z >> np.uint64(31))
+
+
+def bucket_links(fps: np.ndarray, max_bits: int, within: Callable = within, start: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Stars (root, member) with the connectivity of all links among `fps`."""
     left, roots, members = np.arange(len(fps)), [], []
     while len(left) > 1:
         root, left = left[0], left[1:]
         queue = [root]
         while queue and len(left):
-            near = np.flatnonzero(within(fps[left] ^ fps[queue.pop()], max_bits))
+            near = np.flatnonzero(within(fps[left] ^ fps[queue.pop()], max_bits, start))
             if len(near):
                 got = left[near]
                 roots.append(np.full(len(got), root))
@@ -196,25 +294,26 @@ def bucket_links(fps: np.ndarray, max_bits: int, within: Callable = within) -> t
 
 
 _SMALL = 6
+_TAG = 40  # bits of a key below the mark of where its chain begins
 
 
 def _links(max_bits: int, within: Callable):
     """Batches (key, pair, node, fingerprint), sorted by key and pair, to links of nodes."""
 
-    def of(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """keys sorted, whole buckets."""
+    def of(keys: np.ndarray, starts: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """keys sorted, whole buckets; `starts` are the segments that keys begin at."""
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         sizes = np.diff(np.r_[first, len(keys)])
         size = np.repeat(sizes, sizes)
         a, b = [], []
         for lag in range(1, _SMALL):  # small buckets: all of them at once
             near = np.flatnonzero((keys[lag:] == keys[:-lag]) & (size[lag:] <= _SMALL))
-            near = near[within(fps[near] ^ fps[near + lag], max_bits)]
+            near = near[within(fps[near] ^ fps[near + lag], max_bits, starts[near])]
             a.append(nodes[near])
             b.append(nodes[near + lag])
         for k in np.flatnonzero(sizes > _SMALL):
             own = slice(first[k], first[k] + sizes[k])
-            r, m = bucket_links(fps[own], max_bits, within)
+            r, m = bucket_links(fps[own], max_bits, within, int(starts[first[k]]))
             a.append(nodes[own][r])
             b.append(nodes[own][m])
         return np.concatenate(a), np.concatenate(b)
@@ -229,7 +328,7 @@ def _links(max_bits: int, within: Callable):
 
         def out(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
             ids = np.cumsum(np.r_[0, (keys[1:] != keys[:-1]).any(axis=1)])
-            a, b = of(ids, nodes, fps)
+            a, b = of(ids, keys[:, 0] >> (_TAG + 1), nodes, fps)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
@@ -343,20 +442,67 @@ def _exact_search(sets: DataFrame, similarity: float, block_rows: int) -> DataFr
     return dealt.mapInArrow(run, "a bigint, b bigint").filter("a <> b").distinct()
 
 
-def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, block_rows: int = 4096) -> DataFrame:
+_SKETCH = "id bigint, fp bigint, digest binary, name bigint, wide binary, keys array<bigint>"
+_SEEN = 100_000  # sets remembered in a task; forgetting one only costs rows
+
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fingerprint_words: int = 4, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """A row for every row: the fingerprint of near_duplicates(), and of the set of shingles a digest, a 64-bit name, the wide fingerprint and ring keys.
+
+    Of equal sets in a task, the first has the keys.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part, rows = batch.slice(at, 1024), []
+                for d, t in zip(part.column(0).to_pylist(), part.column(1)):
+                    words = split_words(t.as_py())
+                    fp = int.from_bytes(_fingerprint(words, fingerprint_words), "big", signed=True)
+                    h = _shingle_set(words, shingle_words)
+                    digest = set_digest(h)
+                    keys = set_keys(h, similarity) if len(h) and digest not in seen else np.zeros(0, np.int64)
+                    if len(seen) < _SEEN:
+                        seen.add(digest)
+                    rows.append((d, fp, digest, int.from_bytes(digest[:8], "big", signed=True), wide_sketch(h), keys))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [f.split(" ")[0] for f in _SKETCH.split(", ")])
+
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, _SKETCH)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, name), sorted, to those whose key has another name, each once; a run may be of any length."""
+    last: tuple[int, int] | None = None  # the row before this batch, and whether it went out
+    out = True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, name = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if last is not None:
+            key, name = np.r_[last[0], key], np.r_[last[1], name]
+        fresh = np.r_[True, (key[1:] != key[:-1]) | (name[1:] != name[:-1])]
+        key, name = key[fresh], name[fresh]
+        same = key[1:] == key[:-1]
+        shared = np.r_[False, same] | np.r_[same, False]
+        went = last is not None and out
+        keep = shared.copy()
+        if last is not None:
+            keep[0] = shared[0] and not went
+        # the last row may yet find a partner, so it is not counted as gone unless it has one
+        last, out = (int(key[-1]), int(name[-1])), bool(shared[-1]) or (went and len(key) == 1)
+        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(name[keep])], ["key", "name"])
+
+
+def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, block_rows: int = 4096, each: DataFrame | None = None) -> DataFrame:
     """(a, b) pairs of ids with the connectivity of documents at least this similar.
 
     Similarity is that of the sets of shingles, computed exactly for every link.  Documents of
     one set count as the one of the smallest id, and are linked with it.  Rows with a null id
-    take no part.
+    take no part.  `each` are their stored sketches(), made here if not given.
     """
 
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [(set_digest(h), *wide_sketch(h)) for h in (shingle_set(t.as_py(), shingle_words) for t in batch.column(1))]
-            digests, fps, anchors = ([m[k] for m in made] for k in range(3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(fps, pa.binary()), pa.array(anchors, pa.list_(pa.int64()))], ["id", "digest", "fp", "anchors"])
-
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -365,10 +511,15 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.binary())], ["node", "digest", "hashes"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    each = materialize(rows.mapInArrow(sketched, "id bigint, digest binary, fp binary, anchors array<bigint>"), "sketches")
-    reps = materialize(each.groupBy("digest").agg(F.min("id").alias("node"), F.min("fp").alias("fp"), F.min("anchors").alias("anchors")), "distinct-sketches")
-    copies = each.select("id", "digest").join(reps.select("digest", "node"), "digest").filter("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    keys = reps.select(F.explode("anchors").alias("key"), "node", "fp")
+    each = materialize(sketches(rows, "id", "text", 4, shingle_words, similarity), "sketches") if each is None else each
+    # of equal sets that of a null id may have the keys; names, not ids, are what keys stand for
+    named = each.filter("id is not null")
+    reps = materialize(named.groupBy("digest").agg(F.min("id").alias("node"), F.min("name").alias("name"), F.min("wide").alias("fp")), "distinct-sketches")
+    copies = named.select("id", "digest").join(reps.select("digest", "node"), "digest").filter("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    dealt = each.select(F.explode("keys").alias("key"), "name").repartition("key").sortWithinPartitions("key", "name")
+    shared = materialize(dealt.mapInArrow(_shared, "key bigint, name bigint"), "shared-keys")
+    # nothing is near a wordless text but another, which has the same set
+    keys = shared.join(reps.select("name", "node", "fp"), "name").select("key", "node", "fp")
     groups = connected_components(materialize(_search(keys, wide_budget(similarity), block_rows, wide_within), "wide-links"))
     near = materialize(reps.select("digest", "node").join(groups, "node").select("digest", "node", F.col("root").alias("key")), "wide-groups")
     few = rows.join(near.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
@@ -384,7 +535,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows each return a row.  A null id takes no part in the smallest id.  An empty table
     gives an empty result.  Columns of `docs` other than id and text are not read.
     """
-    each = materialize(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
+    return _near_duplicates(materialize(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints"), max_bits, block_rows)
+
+
+def _near_duplicates(each: DataFrame, max_bits: int, block_rows: int) -> DataFrame:
     reps = materialize(each.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
     edges = materialize(fingerprint_links(reps.select("fp"), max_bits, block_rows), "links")
     roots = connected_components(edges)  # node, root
@@ -396,19 +550,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return each.join(of, "fp").select("id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = 0.8, **options) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = 0.8, shingle_words: int = 4, max_bits: int = 4, block_rows: int = 4096) -> DataFrame:
     """`docs` with one row of each group of near duplicates: that of the smallest id.
 
     Groups are those of near_duplicates(), joined by those of similar_links() unless
     `similarity` is None.  Rows that repeat an id stay once.  Rows with a null id can't be
     named, so they stay.
     """
-    found = near_duplicates(docs, id_col, text_col, **options).filter("id is not null")
+    made = fingerprints(docs, id_col, text_col, shingle_words) if similarity is None else sketches(docs, id_col, text_col, shingle_words, similarity=similarity)
+    each = materialize(made, "sketches")
+    found = _near_duplicates(each.select("id", "fp"), max_bits, block_rows).filter("id is not null")
     merged = materialize(found.filter(F.col("id") != F.col("component_id")).select("id", "component_id").distinct(), "merged")
     dropped = merged.select(F.col("id").alias("_gone"))
     if similarity is not None:
         # links are moved to their components' smallest ids, so copies are no nodes here
-        links = similar_links(docs, id_col, text_col, similarity=similarity)
+        links = similar_links(docs, id_col, text_col, similarity=similarity, block_rows=block_rows, each=each)
         for end in ("a", "b"):
             links = links.join(merged.withColumnRenamed("id", end), end, "left").withColumn(end, F.coalesce("component_id", end)).drop("component_id")
         groups = connected_components(materialize(links.filter("a <> b").distinct(), "near-links"))

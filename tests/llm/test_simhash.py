@@ -50,7 +50,50 @@ def test_budgets_accept_exactly_the_near(a, flips):
     for f in flips:
         b ^= 1 << f
     near = bin(a ^ b).count("1") <= 4
-    assert bool(simhash.within(np.array([a ^ b], np.uint64), 4)[0]) == near
+    assert any(simhash.within(np.array([a ^ b], np.uint64), 4, k)[0] for k in range(simhash.SEGMENTS)) == near
+
+
+def test_chains_prune_before_the_full_check():
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 2**63, 20_000).astype(np.uint64) & ~(np.uint64(8191) << np.uint64(51))  # candidates: equal in segment 0
+    x[:200] = [1 << int(b) for b in rng.integers(0, 51, 200)]
+    pruned = np.zeros(simhash.SEGMENTS, np.int64)
+    found = simhash.within(x, 4, 0, pruned)
+    # most candidates leave at the second segment; less than one in a hundred gets the full check
+    assert found[:200].all() and pruned[0] == 0 and pruned[1] > 19_000 and pruned[-1] < 200 and pruned.sum() + found.sum() == len(x)
+
+
+def test_shared_keys_are_those_of_two_names():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    for size in (1, 2, 3, 7, 1000):
+        rows = sorted(zip(rng.integers(0, 60, 300).tolist(), rng.integers(0, 4, 300).tolist())) + [(99, 1)] * 5 + [(100, k) for k in range(9)] + [(101, 5)]
+        table = pa.table({"key": [r[0] for r in rows], "name": [r[1] for r in rows]})
+        got = [(r["key"], r["name"]) for b in simhash._shared(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+        names = {}
+        for k, n in rows:
+            names.setdefault(k, set()).add(n)
+        assert got == sorted({r for r in rows if len(names[r[0]]) > 1})
+
+
+@pytest.mark.parametrize("size", [1, 3, 5, 9, 12, 19, 30, 60, 130, 300, 1200])
+def test_ring_keys_of_similar_sets_meet(size):
+    rng = np.random.default_rng(size)
+    missed = trials = 0
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        b = a.copy()
+        for _ in range(simhash.set_budget(size, 0.8)):  # as far apart as 0.8 allows
+            c = np.delete(b, rng.integers(len(b))) if rng.random() < 0.5 else np.r_[b, rng.integers(0, 2**63, 1).astype(np.uint64)]
+            if len(np.intersect1d(a, c)) < 0.8 * len(np.union1d(a, c)):
+                break
+            b = c
+        trials += 1
+        missed += not len(np.intersect1d(simhash.set_keys(np.unique(a), 0.8), simhash.set_keys(np.unique(b), 0.8)))
+    assert missed <= 0.01 * trials
+    other = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+    assert not len(np.intersect1d(simhash.set_keys(a, 0.8), simhash.set_keys(other, 0.8)))
 
 
 @pytest.mark.parametrize("block_rows", [4096, 7])
@@ -175,4 +218,6 @@ def test_links_under_the_similarity_are_not_taken(spark):
         links = {tuple(sorted(r)) for r in simhash.similar_links(docs, block_rows=block_rows).collect()}
         assert links <= want and not links & set(under)
     kept = {r.doc_id for r in simhash.deduplicate(docs).collect()}
-    assert all(j in kept for i, j in under)
+    bits = lambda i, j: bin(int.from_bytes(simhash.fingerprint(texts[i])) ^ int.from_bytes(simhash.fingerprint(texts[j]))).count("1")
+    far = [(i, j) for i, j in under if bits(i, j) > 4]  # near_duplicates() links the others
+    assert len(far) > 20 and all(j in kept for i, j in far)
