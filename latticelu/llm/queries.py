@@ -55,8 +55,16 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def url_model(spark: SparkSession, sf_dir: str, labelled_rows: int = 20_000) -> urlfilter.UrlModel:
+    """Words of all `documents`; class counts from those whose toxic label is among the `labelled_rows` of least hashed id."""
+    labels = read(spark, sf_dir, "labels").filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("label"))
+    sample = labels.orderBy(F.xxhash64("_id"), "_id").limit(labelled_rows)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return urlfilter.fit(docs.join(F.broadcast(sample), F.col("doc_id") == F.col("_id"), "left"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = urlfilter.filter_urls(read(spark, sf_dir, "pages"), RULES)
+    found = urlfilter.filter_urls(read(spark, sf_dir, "pages"), RULES, url_model(spark, sf_dir))
     return found.select("page_id", "host", "path", "rule", "verdict", "score", F.array_join("tokens", " ").alias("tokens"))
 
 
@@ -67,7 +75,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store(media.to_media(read(spark, sf_dir, "documents")))
-    return media.features(stored, with_codes=False)
+    return media.features(stored)
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,37 +2,35 @@
 
 The method: a unigram Viterbi search splits each run of letters of host and path into
 the most probable words (`freebets` into free, bets), and a multinomial naive Bayes
-model over those words scores the URL.  Both models are small and fitted on the word
-and URL lists below, which are parameters.
+model over those words scores the URL.  Both models are learned: the unigrams are the word
+counts of a table of texts, the classes' word counts those of its labelled rows (1: text of
+the kind to block) and of a small labelled list of URL phrases, EXAMPLES, which is a parameter.
+Words are counted over all rows on the cluster; what reaches the driver is the `vocabulary`
+commonest words, a documented bound.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words of the unigram model, the commonest first (frequency 1/rank).
-WORDS = (
-    "the of and to in for is on by this with you it not or be are from at as your all have new more an was we will home can us about if page my has search free but our one other do no information time they site he up may what which their news out use any there see only so his when contact here business who web also now help get view online first am been would how were services some these click its like service than find price date back top people had list name just over state year day into email two health world next used go work last most products music buy data make them should product system post her city add policy number such please available copyright support message after best software then good video well where info rights public books high school through each links she review years order very privacy book items company read group need many user said does set under general research university mail full map reviews program life know games way days management part could great united hotel real item international center store travel comments made development report off member details line terms before hotels did send right type because local those using results office education national car design take posted internet address community within states area want phone shipping reserved subject between forum family long based code show even black check special prices website index being women much sign file link open today technology south case project same pages version section own found sports house related security both county american photo game members power while care network down computer systems three total place end following download him without per access think north resources current posts big media law control water history pictures size art personal since including guide shop directory board location change white text small rating rate government children during return students shopping account times sites level digital profile previous form events love old main call hours image department title description insurance another why shall property class still money quality every listing content country private little visit save tools low reply customer compare movies include college value article york man card jobs provide food source author different press learn sale around print course job canada process teen room stock training too credit point join science men categories advanced west sales look english left team estate box conditions select windows photos gay thread week category note live large gallery table register however really action start series model air industry plan human provided required second accessories cost movie forums better say questions going medical test friend come server study application cart staff articles feedback again play looking issues never users complete street topic comment financial things working against standard tax person below mobile less got blog party payment equipment login student programs offers legal above recent park stores side act problem red give memory performance social language story sell options experience rates create key body young important field few east paper single age activities club example girls additional password latest something road gift question changes night hard texas pay four poker status browse issue range building seller court february always result audio light write war offer blue groups easy given files event release analysis request china making picture needs possible might professional yet month major star areas future space committee hand sun cards problems london washington meeting become interest id child keep enter california share similar garden schools million added reference companies listed baby learning energy run delivery net popular term film stories put computers journal reports try welcome central images president notice original head radio until cell color self council away includes track archive once others entertainment agreement format least society months log safety friends sure trade edition cars messages marketing tell further updated association able having provides david fun already green studies close common drive specific several gold feb living collection called short arts lot ask display limited powered solutions means director daily beach past natural whether due electronics five upon period planning database says official weather land average done technical window pro region island record direct conference environment records style casino casinos bet bets betting win wins winner pill pills cheap adult xxx porn sex spam farm ads tracker viagra loan loans jackpot slots dating escort replica crack warez torrent clickbait lottery bonus wiki docs cloud garden kitchen recipes maths library museum"
-).split()
-
-#: Labelled training URLs of the naive Bayes model.
-BLOCKED = (
-    "http://freecasino.test/win/bonus", "http://bestbets.test/betting/free", "http://cheappills.test/buy/viagra", "http://adultvideo.test/xxx/porn", "http://xxxsex.test/adult", "http://spamfarm.test/links/spam",
-    "http://adstracker.test/ads/track", "http://track.clickads.test/click", "http://casinowins.test/jackpot/slots", "http://freepoker.test/poker/win", "http://onlinepills.test/cheap/pills", "http://winmoney.test/lottery/win",
-    "http://payloans.test/cheap/loans", "http://adultdating.test/escort/adult", "http://replica.test/cheap/replica", "http://crackwarez.test/torrent/crack", "http://linkfarm.test/spam/farm", "http://freebets.test/bets/bonus", "http://casinobonus.test/free/slots", "http://adultx.test/x/adult",
-)
-ALLOWED = (
-    "http://news.test/en/article", "http://blog.test/post/travel", "http://university.test/research/science", "http://library.test/books/read", "http://healthcare.test/medical/guide", "http://localweather.test/today/weather",
-    "http://cityschool.test/students/learning", "http://openmaps.test/map/city", "http://docs.test/en/software/guide", "http://musicreview.test/reviews/music", "http://gardenlife.test/garden/natural", "http://museum.test/history/art",
-    "http://wiki.test/en/history", "http://communityforum.test/forum/questions", "http://government.test/public/policy", "http://kitchenrecipes.test/food/recipes", "http://sportsteam.test/sports/events", "http://m.journal.test/article/study", "http://www.travelguide.test/hotels/travel", "http://cloud.test/data/security",
+VOCABULARY = 50_000
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+#: Longer words are not counted, and runs are split into words of at most so many letters.
+LONGEST = 24
+
+#: Labelled URL phrases (1: to block), one a row, for kinds of site that running text hardly names.
+EXAMPLES = (
+    (1, "casino win bonus jackpot"), (1, "slots poker roulette blackjack"), (1, "bets betting odds free"), (1, "lottery gamble money win"), (1, "cheap pills viagra cialis"), (1, "online pharmacy pills discount"),
+    (1, "payday loans cheap replica"), (1, "adult video porn sex"), (1, "xxx nude escort x"), (1, "hot girls cam adult"), (1, "spam farm link scam"), (1, "phishing malware spam"), (1, "ads track click tracker"), (1, "ads popunder banner"), (1, "crack warez keygen torrent"),
+    (0, "farm market garden"), (0, "track running sports"), (0, "free software guide"), (0, "hot water kitchen"), (0, "video lessons school"), (0, "link library books"), (0, "win tennis match"), (0, "online journal article"), (0, "cheap travel hotel"), (0, "money history museum"),
+    (0, "girls school students"), (0, "click here news"), (0, "discount travel"), (0, "odds science research"), (0, "bonus music review"), (0, "cam city weather"), (0, "banner art gallery"), (0, "x ray health"), (0, "crack rock climbing"),
 )
 
 Rule = tuple[str, str, str]  # verdict, host, path
@@ -48,38 +46,36 @@ def host_and_path(url: str | None) -> tuple[str, str]:
     return host.translate(_LOWER), path
 
 
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+class UrlModel:
+    """The segmenter and the classifier.
 
+    `words` counts each word, `classes` (allowed, blocked) how often it is in labelled texts
+    of either kind; `prior` is the share of blocked URLs.  A class expects each word in
+    proportion to its count in all texts, with the weight of `smoothing` times all words.
+    """
 
-class UrlModel:
-    """The segmenter and the classifier; `prior` is the share of blocked URLs."""
-
-    def __init__(self, words: Sequence[str] = WORDS, blocked: Sequence[str] = BLOCKED, allowed: Sequence[str] = ALLOWED, prior: float = 0.5, threshold: float = 0.7):
-        self.cost: dict[str, float] = {}
-        total = sum(1 / (k + 1) for k in range(len(words))) or 1
-        for k, w in enumerate(words):
-            self.cost.setdefault(w, math.log(total * (k + 1)))
-        self.longest = max(map(len, words), default=1)
-        self.total, self.threshold = total, threshold
-        counts = [Counter(), Counter()]
-        for k, urls in enumerate((allowed, blocked)):
-            for u in urls:
-                counts[k].update(t for t in self.tokens(*host_and_path(u)) if t in self.cost)
-        vocabulary = set(counts[0]) | set(counts[1])
-        size = [sum(c.values()) + len(vocabulary) for c in counts]
-        #: log odds that a word gives for blocked; words of neither list give none
-        self.odds = {w: math.log((counts[1][w] + 1) / size[1]) - math.log((counts[0][w] + 1) / size[0]) for w in sorted(vocabulary)}
+    def __init__(self, words: Mapping[str, int], classes: Mapping[str, tuple[int, int]], prior: float = 0.1, threshold: float = 0.5, smoothing: float = 0.02):
+        total = sum(words.values()) or 1
+        self.cost = {w: math.log(total / n) for w, n in words.items()}
+        self.unknown, self.threshold = math.log(10 * total), threshold
+        size = [sum(c[k] for c in classes.values()) + smoothing * total for k in (0, 1)]
+        chance = lambda w, c, k: math.log((c[k] + smoothing * words[w]) / size[k])
+        #: log odds that a word gives for blocked; words of no labelled text give none
+        self.odds = {w: chance(w, c, 1) - chance(w, c, 0) for w, c in classes.items()}
         self.start = math.log(prior) - math.log(1 - prior)
 
     def segment(self, run: str) -> list[str]:
-        """The most probable split of a run of letters; ties go to the longer last word."""
+        """The most probable split of a run of letters; of equally probable ones that with the longest last word.
+
+        An unknown word is ten times less probable than a word seen once, and tenfold less with each letter.
+        """
         best, last = [0.0], [0]
         for end in range(1, len(run) + 1):
             cost, start = math.inf, end - 1
-            for begin in range(max(0, end - max(self.longest, 24)), end):
+            for begin in range(max(0, end - LONGEST), end):
                 w = run[begin:end]
-                # an unknown word's probability falls tenfold with each letter
-                c = best[begin] + self.cost.get(w, math.log(self.total * 200) + 2.302585 * len(w))
+                c = self.cost.get(w)
+                c = best[begin] + (self.unknown + math.log(10) * len(w) if c is None else c)
                 if c < cost:
                     cost, start = c, begin
             best.append(cost)
@@ -95,9 +91,9 @@ class UrlModel:
         names = ".".join(labels[:-1]) if len(labels) > 1 else host  # the top-level name says nothing
         return [w for run in re.findall(r"[a-z]+", f"{names}/{path.translate(_LOWER)}") for w in _segment(self, run)]
 
-    def score(self, host: str, path: str) -> float:
+    def score_tokens(self, tokens: Sequence[str]) -> float:
         """Probability of blocked."""
-        x = self.start + sum(self.odds.get(t, 0.0) for t in self.tokens(host, path))
+        x = self.start + sum(self.odds.get(t, 0.0) for t in tokens)
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
 
 
@@ -106,8 +102,37 @@ def _segment(model: UrlModel, run: str) -> tuple[str, ...]:
     return tuple(model.segment(run))
 
 
+def word_counts(texts: DataFrame, text_col: str = "text", label_col: str | None = None) -> DataFrame:
+    """(word, n, allowed, blocked) of the lower-case runs of at most LONGEST letters a-z in all texts.
+
+    `allowed` and `blocked` count a word in rows of label 0 and 1; rows without a label count in n alone.
+    """
+    label = F.col(label_col) if label_col else F.lit(None)
+    # a row gives each of its words once, with its count, so that long texts don't grow into rows of words
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "[^a-z]+"), lambda w: (w != "") & (F.length(w) <= LONGEST))
+    flat = texts.select(F.explode(words).alias("word"), label.alias("label"))
+    count = lambda k: F.count(F.when(F.col("label") == k, 1))
+    return flat.groupBy("word").agg(F.count("*").alias("n"), count(0).alias("allowed"), count(1).alias("blocked"))
+
+
+def fit(texts: DataFrame, text_col: str = "text", label_col: str = "label", vocabulary: int = VOCABULARY, min_count: int = 2, examples: Sequence[tuple[int, str]] = EXAMPLES, **options) -> UrlModel:
+    """A model from all rows of `texts` and the labelled phrases of `examples`.
+
+    Its words are the `vocabulary` commonest that occur `min_count` times (ties: the word
+    that sorts first) and those of the phrases.  Null texts and an empty table give no words.
+    """
+    rows = word_counts(texts, text_col, label_col).filter(F.col("n") >= min_count).orderBy(F.desc("n"), "word").limit(vocabulary).collect()
+    counts = {r["word"]: [r["n"], r["allowed"], r["blocked"]] for r in rows}
+    for label, phrase in examples:
+        for w in phrase.split():
+            own = counts.setdefault(w, [0, 0, 0])
+            own[0] += 1
+            own[1 + label] += 1
+    return UrlModel({w: c[0] for w, c in counts.items()}, {w: (c[1], c[2]) for w, c in counts.items() if c[1] or c[2]}, **options)
+
+
 def parse_rules(rules: Sequence[tuple[str, str]]) -> list[Rule]:
-    """(verdict, "host/path") pairs, the longest first."""
+    """(verdict, "host/path") pairs, the longest first; of equally long ones allow goes before block."""
     out = []
     for verdict, text in rules:
         host, slash, path = text.partition("/")
@@ -122,25 +147,27 @@ def match(host: str, path: str, rules: list[Rule]) -> Rule | None:
     return next((r for r in rules if path.startswith(r[2]) and (host == r[1] or host.endswith(f".{r[1]}"))), None)
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", model: UrlModel | None = None) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], model: UrlModel, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, score, tokens) for every row of `pages`.
 
     Null URLs and those without :// have an empty host and path, hence no rule and the
-    prior as score (allow).  Repeated rows each return a row; an empty table gives an empty
-    result.  Rows never leave their partition, so hot hosts don't matter.
+    prior as score.  A score over the model's threshold is block.  Repeated rows each return
+    a row; an empty table gives an empty result; other columns aren't read.  URLs of any
+    length are judged whole.  Rows never leave their partition, so hot hosts don't matter.
     """
-    listed, own = parse_rules(rules), model
+    listed, shared = parse_rules(rules), pages.sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = own or UrlModel()
+        model = shared.value
         for batch in batches:
             out = []
             for page, url in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 host, path = host_and_path(url)
                 rule = match(host, path, listed)
-                score = model.score(host, path)
+                tokens = model.tokens(host, path)
+                score = model.score_tokens(tokens)
                 verdict = rule[0] if rule else "block" if score > model.threshold else "allow"
-                out.append((page, host, path, rule and rule[1] + rule[2], verdict, round(score, 6), model.tokens(host, path)))
+                out.append((page, host, path, rule and rule[1] + rule[2], verdict, round(score, 6), tokens))
             types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.string()))
             names = ["page_id", "host", "path", "rule", "verdict", "score", "tokens"]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
