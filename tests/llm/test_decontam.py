@@ -16,7 +16,7 @@ def brute(docs, items, window=13, similarity=0.8):
         for k, item in items:
             v = words(item)
             need = min(window, len(v))
-            if len(v) < 5:
+            if not v[0]:
                 continue
             for at in range(len(w) - need + 1):
                 for q in range(len(v) - need + 1):
@@ -49,6 +49,31 @@ def test_finds_what_brute_force_finds(spark, cases, limits):
     assert {(r.doc_id, r.item_id) for r in got} == brute(docs, items) >= {(1, 0), (2, 0), (4, 0), (5, 0), (11, 1), (12, 1)}
 
 
+def test_no_allowed_substitution_is_lost_at_any_length(spark):
+    docs, items, want, d = [], [], set(), 0
+    for n in range(1, 14):
+        item = [f"i{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        allowed = n - -(-n * 8 // 10)
+        for bad in itertools.chain.from_iterable(itertools.combinations(range(n), k) for k in range(allowed + 2)):
+            text = "before it " + " ".join("zz" if k in bad else w for k, w in enumerate(item)) + " after"
+            docs.append((d, text))
+            if len(bad) <= allowed:
+                want.add((d, n))
+            d += 1
+    for limits in ({}, {"broadcast_rows": 0, "broadcast_ids": 0}):
+        got = decontam.contamination(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), **limits).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == want
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    text = " ".join(f"w{k}" for k in range(20))
+    rows = [(None, f"{'long ' * 3000} {text}"), (None, "clean"), (None, None), (7, text), (7, "clean too"), (8, "x " * 500_000 + text)]
+    docs, tests = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(3, text), (3, text), (4, None), (5, "!")], "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.contamination(docs, tests).collect()} == {(None, 3), (7, 3), (8, 3)}
+    assert sorted((r.doc_id or 0, r.text or "") for r in decontam.decontaminate(docs, tests).collect()) == [(0, ""), (0, "clean"), (7, "clean too")]
+
+
 def test_query_on_the_small_tables(spark, sf_dir):
     from latticelu.llm import queries
 
