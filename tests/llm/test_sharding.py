@@ -48,3 +48,17 @@ def test_nulls_repeats_clashing_names_and_empty_tables(spark):
     rows = sharding.shuffle_shards(df, 4).collect()
     check([(r._shard, r._slot) for r in rows], 7, 4)
     assert sharding.shuffle_shards(df.limit(0), 4).count() == 0
+
+
+def test_two_levels_hot_keys_and_long_texts(spark):
+    rows = [(i, "x" * (i % 50)) for i in range(900)] + [(5, "hot")] * 600 + [(9, "long " * 100_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    found = sharding.shuffle_shards(df, 4, bucket_bytes=500, most_partitions=7, hot_rows=100).collect()
+    check([(r._shard, r._slot) for r in found], 1501, 4)
+    assert sorted((r.doc_id, r.text) for r in found) == sorted(rows)
+    # the hot key's rows are spread over all shards as evenly as others
+    hot = [sum(r.text == "hot" for r in found if r._shard == s) for s in range(4)]
+    assert min(hot) > 90 and max(hot) < 210
+    one = {r.doc_id: (r._shard, r._slot) for r in sharding.shuffle_shards(df.filter("text <> 'hot'"), 4, bucket_bytes=500, most_partitions=7).collect()}
+    two = {r.doc_id: (r._shard, r._slot) for r in sharding.shuffle_shards(df.filter("text <> 'hot'"), 4, bucket_bytes=500).collect()}
+    assert {k: v for k, v in one.items() if k != 9} == {k: v for k, v in two.items() if k != 9}  # levels change nothing
