@@ -8,7 +8,9 @@ summed length needs, when its mix of lengths is to blame - and releases every bi
 has room.  What groups release is dealt anew, so documents change groups, and packed again,
 in fewer groups each round (a group may grow to eight times `group_rows`).  It ends when
 the bound of all released pieces together certifies their bins, when one group holds
-them all, or after `max_rounds`.
+them all, or when a round releases as many bins as the one before: nothing more is to be had
+by exchange.  The result says which: `lower_bound` is that of all pieces together, and
+`certified` whether as many sequences were made.
 
 Only (id, piece, length, ...) rows move between groups, never token ids.
 """
@@ -109,23 +111,26 @@ def _pack_group(table: pa.Table, capacity: int, final: bool, group: int) -> pa.T
     return pa.Table.from_arrays([*columns, pa.array(seq), pa.array(offsets), pa.array(done[bins])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "done"])
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = 100_000, max_rounds: int = 6) -> DataFrame:
-    """`pieces` with sequence_id and offset; lengths from 1 to capacity.
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = 100_000) -> DataFrame:
+    """`pieces` with sequence_id and offset, lower_bound and certified; lengths from 1 to capacity.
 
-    Pieces of full length are a sequence each.  An empty table gives an empty result.
+    Pieces of full length are a sequence each.  lower_bound is the dual-feasible bound on the
+    number of sequences, certified whether the result attains it; both are the same in all
+    rows.  `pieces` must be a stored table.  An empty table gives an empty result.
     """
-    spark = pieces.sparkSession
     full = pieces.filter(F.col("length") == capacity)
     # one sequence for each row; the table is stored, so partition and order in it are fixed
     parts = [full.select("*", (F.lit(1 << 62) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))]
-    pool = pieces.filter(F.col("length") < capacity)
+    # at most a row for each length reaches the driver
+    histogram = lambda df: {r["length"]: r["n"] for r in df.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    every = histogram(pieces)
+    bound, count = lower_bound(every, capacity), every.get(capacity, 0)
+    pool, rows = pieces.filter(F.col("length") < capacity), sum(every.values()) - count
     schema = f"{PIECES}, sequence_id bigint, offset bigint, done boolean"
-    for turn in range(max_rounds):
-        rows = pool.count()
-        if not rows:
-            break
+    turn, before = 0, None
+    while rows:
         groups = math.ceil(rows / (group_rows * min(2**turn, 8)))
-        final = groups == 1 or turn == max_rounds - 1
+        final = groups == 1
 
         def run(batches: Iterator[pa.RecordBatch], turn=turn, final=final) -> Iterator[pa.RecordBatch]:
             held = list(batches)
@@ -133,23 +138,25 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = 1
                 group = (turn << 24) + TaskContext.get().partitionId()
                 yield from _pack_group(pa.Table.from_batches(held), capacity, final, group).to_batches(max_chunksize=50_000)
 
-        dealt = pool.repartition(groups, F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)))
-        packed = materialize(dealt.mapInArrow(run, schema), "packed")
-        parts.append(packed.filter("done").drop("done"))
+        # the row number, of a stored table, spreads rows that repeat
+        dealt = pool.repartition(groups, F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id(), F.lit(turn)))
+        packed = materialize(dealt.select(*pieces.columns).mapInArrow(run, schema), "packed")
+        finished = packed.filter("done").drop("done")
+        parts.append(finished)
+        count += finished.filter("offset = 0").count()
         if final:
             break
         left = packed.filter("not done")
-        # at most a row for each length reaches the driver
-        by_length = {r["length"]: r["n"] for r in left.groupBy("length").agg(F.count("*").alias("n")).collect()}
-        bins = left.filter("offset = 0").count()
-        if bins <= lower_bound(by_length, capacity):
+        lengths, bins = histogram(left), left.filter("offset = 0").count()
+        if bins <= lower_bound(lengths, capacity) or bins == before:
             parts.append(left.drop("done"))
+            count += bins
             break
-        pool = left.select(*pieces.columns)
+        pool, rows, turn, before = left.select(*pieces.columns), sum(lengths.values()), turn + 1, bins
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.withColumns({"lower_bound": F.lit(bound).cast("bigint"), "certified": F.lit(count == bound)})
 
 
 # ---------------------------------------------------------------- tokenising
@@ -221,11 +228,11 @@ def tokenize(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, group_rows: int = 100_000, max_rounds: int = 6) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, group_rows: int = 100_000) -> DataFrame:
     """Every piece of every document with its sequence_id and its offset there.
 
     Null and empty texts are the end id alone; repeated rows are packed once each; a
     null id stays null; an empty table gives an empty result; other columns aren't read.
     """
     pieces = materialize(tokenize(docs, tokenizer_path, id_col, text_col, capacity, end_id), "pieces")
-    return pack_pieces(pieces, capacity, group_rows, max_rounds)
+    return pack_pieces(pieces, capacity, group_rows)

@@ -90,7 +90,17 @@ def test_groups_exchange_and_stay_valid(spark, group_rows):
     pieces = spark.createDataFrame([(i, 0, 0, n, 7) for i, n in enumerate(lengths)], packing.PIECES)
     rows = packing.pack_pieces(pieces, group_rows=group_rows).collect()
     assert sorted((r.doc_id, r.length) for r in rows) == list(enumerate(lengths))
-    assert valid(rows) <= 1.04 * -(-sum(lengths) // 1024) + 1
+    bins = valid(rows)
+    assert bins <= 1.04 * -(-sum(lengths) // 1024) + 1
+    # ties and the bound: it is that of all pieces, and attained or not is said
+    assert {(r.lower_bound, r.certified) for r in rows} == {(packing.lower_bound(np.array(lengths)), bins == packing.lower_bound(np.array(lengths)))}
+
+
+def test_certificate_and_repeated_rows(spark):
+    pieces = spark.createDataFrame([(1, 0, 0, 512, 7)] * 600 + [(2, 0, 0, 1024, 7)] * 3, packing.PIECES)
+    rows = packing.pack_pieces(pieces, group_rows=50).collect()
+    assert valid(rows) == 303 and {(r.lower_bound, r.certified) for r in rows} == {(303, True)}
+    assert len({r.sequence_id for r in rows}) == 303
 
 
 def test_documents_come_back_from_their_pieces(spark, sf_dir):
