@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 VOCABULARY = 50_000
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 #: Longer words are not counted, and runs are split into words of at most so many letters.
@@ -118,10 +120,20 @@ def word_counts(texts: DataFrame, text_col: str = "text", label_col: str | None
 def fit(texts: DataFrame, text_col: str = "text", label_col: str = "label", vocabulary: int = VOCABULARY, min_count: int = 2, examples: Sequence[tuple[int, str]] = EXAMPLES, **options) -> UrlModel:
     """A model from all rows of `texts` and the labelled phrases of `examples`.
 
-    Its words are the `vocabulary` commonest that occur `min_count` times (ties: the word
-    that sorts first) and those of the phrases.  Null texts and an empty table give no words.
+    Its words are the commonest that occur `min_count` times, at most `vocabulary` of them
+    (words of about one count are taken together or not at all), and those of the phrases.
+    Null texts and an empty table give no words.
     """
-    rows = word_counts(texts, text_col, label_col).filter(F.col("n") >= min_count).orderBy(F.desc("n"), "word").limit(vocabulary).collect()
+    found = materialize(word_counts(texts, text_col, label_col).filter(F.col("n") >= min_count), "words")
+    # counts to 1,000, and ranges of a sixty-fourth of a factor e above
+    level = F.when(F.col("n") < 1000, F.col("n")).otherwise(F.lit(1000) + F.floor(F.log(F.col("n") / 1000) * 64))
+    least, total = math.inf, 0
+    for r in sorted(found.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), reverse=True):  # about 2,500 rows at most
+        total += r["words"]
+        if total > vocabulary:
+            break
+        least = r["level"]
+    rows = found.filter(level >= least).collect() if least < math.inf else []
     counts = {r["word"]: [r["n"], r["allowed"], r["blocked"]] for r in rows}
     for label, phrase in examples:
         for w in phrase.split():
