@@ -154,10 +154,10 @@ def mat_half_to_full(spark: SparkSession, d: str) -> DataFrame:
     return full_from_half(fx.hierarchy(spark, d).lower().entries)
 
 
-@query(f"WITH {fx.HIERARCHY_SQL}, ax AS (SELECT m.i, sum(m.v * 2) AS v FROM m GROUP BY m.i), b AS (SELECT i, sum(v) AS v FROM m GROUP BY i) SELECT round(sqrt(sum((ax.v - b.v) * (ax.v - b.v))) / sqrt(sum(b.v * b.v)), 6) AS residual FROM ax JOIN b USING (i)")
+@query(f"WITH {fx.HIERARCHY_SQL}, ax AS (SELECT m.i, sum(m.v * (1 + m.j % 7)) AS v FROM m GROUP BY m.i), b AS (SELECT i, sum(v) AS v FROM m GROUP BY i) SELECT round(sqrt(sum((ax.v - b.v) * (ax.v - b.v))) / sqrt(sum(b.v * b.v)), 6) AS residual FROM ax JOIN b USING (i)")
 def mat_residual(spark: SparkSession, d: str) -> DataFrame:
     m = fx.hierarchy(spark, d)
-    return m.residual(m.indices().select("i", F.lit(2.0).alias("v")), m.row_sums()).select(_r("residual"))
+    return m.residual(m.indices().select("i", (1.0 + F.col("i") % 7).alias("v")), m.row_sums()).select(_r("residual"))
 
 
 @query("SELECT s_suppkey::BIGINT AS i, round(s_acctbal * s_nationkey + s_suppkey, 4) + 0.0 AS re, round(s_suppkey * s_nationkey * 0.5 - 2 * s_acctbal, 4) + 0.0 AS im, round(sqrt(s_acctbal * s_acctbal + s_suppkey * s_suppkey), 4) AS size FROM supplier")

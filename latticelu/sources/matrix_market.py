@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 FIELDS = ("real", "complex", "integer", "pattern")
 SYMMETRIES = ("general", "symmetric", "hermitian", "skew-symmetric")
@@ -52,32 +53,88 @@ def _head(spark: SparkSession, path: str) -> tuple[tuple[str, str, str], list[in
     return banner, numbers, size["at"]
 
 
+def _stored(spark: SparkSession, path: str, size_at: int, want: int) -> DataFrame:
+    """The lines after the size line; an error if they aren't as many as it declares."""
+    rows = _lines(spark, path).filter(F.col("at") > size_at)
+    found = rows.count()
+    if found != want:
+        raise ValueError(f"{path} declares {want} entries and holds {found}")
+    return rows
+
+
 def matrix_info(spark: SparkSession, path: str) -> dict:
-    """Rows, columns, stored entries and the file's type."""
-    (kind, field, symmetry), size, _ = _head(spark, path)
-    return {"rows": size[0], "columns": size[1], "stored": size[2] if len(size) > 2 else size[0] * size[1], "format": kind, "field": field, "symmetry": symmetry}
+    """Rows, columns, stored entries, entries with the other half of a symmetric file, and the file's type."""
+    (kind, field, symmetry), size, size_at = _head(spark, path)
+    stored = size[2] if kind == "coordinate" else _dense_entries(size, symmetry)
+    expanded = stored
+    if symmetry != "general":
+        if kind == "coordinate":
+            c = F.split("value", " ")
+            expanded += _stored(spark, path, size_at, stored).filter(F.get(c, F.lit(0)) != F.get(c, F.lit(1))).count()
+        else:
+            expanded = size[0] * size[1] - (size[0] if symmetry == "skew-symmetric" else 0)
+    return {"rows": size[0], "columns": size[1], "stored": stored, "expanded": expanded, "format": kind, "field": field, "symmetry": symmetry}
+
+
+def _dense_entries(size: list[int], symmetry: str) -> int:
+    n = size[0]
+    return {"general": n * size[1], "skew-symmetric": n * (n - 1) // 2}.get(symmetry, n * (n + 1) // 2)
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """`rows` with k, their place from 0: a count for each of the file's splits, then places within them."""
+    split = F.shiftright("at", 33)
+    counts = {r["s"]: r["n"] for r in rows.groupBy(split.alias("s")).agg(F.count("*").alias("n")).collect()}
+    begins, begin = [], 0
+    for part in sorted(counts):
+        begins.append((part, begin))
+        begin += counts[part]
+    offsets = rows.sparkSession.createDataFrame(begins, "s bigint, begin bigint")
+    own = F.row_number().over(Window.partitionBy("s").orderBy("at")) - 1
+    return rows.withColumn("s", split).withColumn("k", own).join(F.broadcast(offsets), "s").select("value", (F.col("begin") + F.col("k")).alias("k"))
+
+
+def _dense_places(rows: DataFrame, size: list[int], symmetry: str) -> DataFrame:
+    """(i, j, value) of a dense file's values: column after column, of a symmetric one the lower half."""
+    n, k = size[0], F.col("k")
+    if symmetry == "general":
+        return rows.select((k % n).alias("i"), (k / n).cast("bigint").alias("j"), "value")
+    skip = 1 if symmetry == "skew-symmetric" else 0  # columns begin below the diagonal
+    begins = [(j, j * (n - skip) - j * (j - 1) // 2, (j + 1) * (n - skip) - (j + 1) * j // 2) for j in range(n)]
+    columns = rows.sparkSession.createDataFrame(begins, "j bigint, begin bigint, stop bigint")
+    found = rows.join(F.broadcast(columns), (k >= F.col("begin")) & (k < F.col("stop")))
+    return found.select((F.col("j") + skip + k - F.col("begin")).alias("i"), "j", "value")
 
 
 def read_mtx(spark: SparkSession, path: str, as_complex: bool | None = None) -> DataFrame:
-    """(i, j, v) of a coordinate file, 0-based, the other half of a symmetric one included.
+    """(i, j, v) of a coordinate or dense (array) file, 0-based, the other half of a symmetric one included.
 
     Pattern entries are 1.  Hermitian halves are conjugated, skew ones negated.  A complex
     file gives struct<re, im> unless `as_complex` is false, which keeps the real part.
-    Lines that don't parse are errors.  Dense (array) files aren't supported.
+    Lines that don't parse are errors, as is another number of entries than the size line
+    declares.  Zeros of a dense file are entries too.
     """
     (kind, field, symmetry), size, size_at = _head(spark, path)
-    if kind != "coordinate":
-        raise ValueError("dense (array) files aren't supported")
-    rows = _lines(spark, path).filter(F.col("at") > size_at).select("value", F.split("value", " ").alias("c"))
-    want = {"pattern": 2, "complex": 4}.get(field, 3)
-    number = lambda k, kind: F.get("c", F.lit(k)).try_cast(kind)
-    i, j = number(0, "bigint"), number(1, "bigint")
-    re = F.lit(1.0) if field == "pattern" else number(2, "double")
-    im = number(3, "double") if field == "complex" else F.lit(0.0)
-    good = (F.size("c") == want) & i.between(1, size[0]) & j.between(1, size[1]) & re.isNotNull() & im.isNotNull()
+    if symmetry != "general" and size[0] != size[1]:
+        raise ValueError(f"a {symmetry} matrix of {size[0]} rows and {size[1]} columns")
+    dense = kind == "array"
+    rows = _stored(spark, path, size_at, _dense_entries(size, symmetry) if dense else size[2])
+    c = F.split("value", " ")
+    number = lambda k, kind: F.get(c, F.lit(k)).try_cast(kind)
+    first = 0 if dense else 2
+    want = first + {"pattern": 0, "complex": 2}.get(field, 1)
+    re = F.lit(1.0) if field == "pattern" else number(first, "double")
+    im = number(first + 1, "double") if field == "complex" else F.lit(0.0)
+    if dense:
+        rows, i, j = _dense_places(_numbered(rows), size, symmetry), F.col("i"), F.col("j")
+        inside = F.lit(True)
+    else:
+        i, j = number(0, "bigint") - 1, number(1, "bigint") - 1
+        inside = i.between(0, size[0] - 1) & j.between(0, size[1] - 1)
+    good = (F.size(c) == want) & inside & re.isNotNull() & im.isNotNull()
     # the error is in the index itself, so that no plan can leave it out
-    index = F.when(F.coalesce(good, F.lit(False)), i - 1).otherwise(F.raise_error(F.concat(F.lit("not an entry: "), F.col("value"))).cast("bigint"))
-    entries = rows.select(index.alias("i"), (j - 1).alias("j"), re.alias("re"), im.alias("im"))
+    index = F.when(F.coalesce(good, F.lit(False)), i).otherwise(F.raise_error(F.concat(F.lit("not an entry: "), F.col("value"))).cast("bigint"))
+    entries = rows.select(index.alias("i"), j.alias("j"), re.alias("re"), im.alias("im"))
     if symmetry != "general":
         sign = F.lit(-1.0 if symmetry == "skew-symmetric" else 1.0)
         im_sign = F.lit(-1.0 if symmetry in ("hermitian", "skew-symmetric") else 1.0)
@@ -87,6 +144,19 @@ def read_mtx(spark: SparkSession, path: str, as_complex: bool | None = None) ->
     return entries.select("i", "j", F.col("re").alias("v"))
 
 
+def from_columns(spark: SparkSession, pointer: np.ndarray, rows: np.ndarray, values: np.ndarray) -> DataFrame:
+    """(i, j, v) of compressed-column arrays: column j has the entries from pointer[j] to pointer[j + 1]."""
+    pointer, rows, values = np.asarray(pointer, np.int64), np.asarray(rows, np.int64), np.asarray(values)
+    n = len(pointer) - 1
+    if n < 0 or pointer[0] != 0 or (np.diff(pointer) < 0).any() or pointer[-1] != len(rows) or len(rows) != len(values):
+        raise ValueError("the pointers don't fit the entries")
+    if len(rows) and (rows.min() < 0 or rows.max() >= n):
+        raise ValueError("a row is outside the square matrix")
+    columns = {"i": pa.array(rows), "j": pa.array(np.repeat(np.arange(n), np.diff(pointer))), "re": pa.array(values.real.astype(np.float64)), "im": pa.array(values.imag.astype(np.float64))}
+    made = spark.createDataFrame(pa.table(columns))
+    return made.select("i", "j", F.struct("re", "im").alias("v") if np.iscomplexobj(values) else F.col("re").alias("v"))
+
+
 def write_mtx(entries: DataFrame, path: str, rows: int, columns: int, stored: int | None = None) -> None:
     """Write a general coordinate file: one part, banner and size line first."""
     complex_values = dict(entries.dtypes)["v"].startswith("struct")
