@@ -36,36 +36,39 @@ FLOOR_ROWS = 20  # a language of fewer training rows takes the least floor of th
 
 
 @lru_cache(maxsize=1)
-def _letters() -> np.ndarray:
-    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+def _lower() -> np.ndarray:
+    """The lower-case letter of each code point (itself, if that is several), zero for what is no letter."""
+    out = np.zeros(0x110000, np.uint32)
+    for i in range(0x110000):
+        if (c := chr(i)).isalpha():
+            low = c.lower()
+            out[i] = ord(low) if len(low) == 1 else i
+    return out
 
 
 def _counts(text: str, dims: int = DIMS) -> tuple[np.ndarray, bool]:
-    """Hashed n-gram counts, and whether the text has a letter."""
-    total, letters, any_letter = np.zeros(dims, np.int64), _letters(), False
+    """Hashed n-gram counts, and whether the text has a letter; read a chunk at a time, which changes nothing."""
+    total, lower, any_letter = np.zeros(dims, np.int64), _lower(), False
+    shift = np.uint32(32 - dims.bit_length() + 1)
+    before = np.zeros(1, np.uint32)  # the blank before the text; later the last two letters or blanks that were counted
     for at in range(0, len(text), _CHUNK):
-        cp = np.frombuffer(text[max(0, at - 2) : at + _CHUNK].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        cp = np.where(letters[cp], cp, 0)
+        cp = lower[np.frombuffer(text[at : at + _CHUNK].encode("utf-32-le", "surrogatepass"), np.uint32)]
         any_letter = any_letter or bool(cp.any())
-        if at == 0:
-            cp = np.concatenate([np.zeros(1, np.uint32), cp])
         if at + _CHUNK >= len(text):
-            cp = np.concatenate([cp, np.zeros(1, np.uint32)])
-        keep = np.ones(len(cp), bool)
-        keep[1:] = (cp[1:] != 0) | (cp[:-1] != 0)  # one blank between words
-        cp = cp[keep]
+            cp = np.r_[cp, np.uint32(0)]
+        new = cp[(cp != 0) | (np.r_[before[-1:], cp[:-1]] != 0)]  # one blank between words
+        seen, cp = len(before), np.concatenate([before, new])
         one = cp * _MULT[0]
-        shift = np.uint32(32 - dims.bit_length() + 1)
-        lead = 2 if at else 0  # letters of the last chunk, already counted alone
-        total += np.bincount((one[lead:] >> shift)[cp[lead:] != 0], minlength=dims)
+        total += np.bincount((one[seen:] >> shift)[new != 0], minlength=dims)
         if len(cp) > 1:
             two = one[1:] ^ (cp[:-1] * _MULT[1] + np.uint32(1))
             two *= _MULT[2]
-            total += np.bincount(two[max(0, lead - 1) :] >> shift, minlength=dims)
+            total += np.bincount(two[seen - 1 :] >> shift, minlength=dims)
         if len(cp) > 2:
             three = (one[2:] ^ (two[:-1] + np.uint32(7))) * _MULT[1]
-            three = three[(cp[1:-1] != 0)]
-            total += np.bincount(three >> shift, minlength=dims)
+            begin = max(0, seen - 2)
+            total += np.bincount(three[begin:][cp[1:-1][begin:] != 0] >> shift, minlength=dims)
+        before = cp[-2:]
     return total, any_letter
 
 

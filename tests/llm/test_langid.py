@@ -1,3 +1,4 @@
+import numpy as np
 import random
 
 import pytest
@@ -59,3 +60,14 @@ def test_long_texts_of_unlearned_scripts_and_noise_are_rejected(fitted):
             language, score, known = langid.classify(text, model)
             assert not known, (name, n, language, score)
     assert not langid.classify("Сегодня утром мы поехали за город и долго гуляли в лесу. Вечером все вернулись домой и пили чай.", model)[2]
+
+
+def test_chunks_change_nothing(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("aBcÉßΣ  .,1\nжİ")) for _ in range(n)) for n in (1, 2, 3, 10, 500)] + ["   ", " a", "a ", "x" * 50]
+    whole = [langid._counts(t) for t in texts]
+    for size in (1, 2, 3, 7):
+        monkeypatch.setattr(langid, "_CHUNK", size)
+        for t, (counts, letter) in zip(texts, whole):
+            got = langid._counts(t)
+            assert (got[0] == counts).all() and got[1] == letter
