@@ -160,15 +160,28 @@ def mat_residual(spark: SparkSession, d: str) -> DataFrame:
     return m.residual(m.indices().select("i", (1.0 + F.col("i") % 7).alias("v")), m.row_sums()).select(_r("residual"))
 
 
-@query("SELECT s_suppkey::BIGINT AS i, round(s_acctbal * s_nationkey + s_suppkey, 4) + 0.0 AS re, round(s_suppkey * s_nationkey * 0.5 - 2 * s_acctbal, 4) + 0.0 AS im, round(sqrt(s_acctbal * s_acctbal + s_suppkey * s_suppkey), 4) AS size FROM supplier")
+_COMPLEX_PARTS = {
+    "product": ("a * c - b * d", "a * d + b * c"),
+    "quotient": ("(a * c + b * d) / (c * c + d * d)", "(b * c - a * d) / (c * c + d * d)"),
+    "total": ("a + c", "b + d"),
+    "conjugate": ("a", "-b"),
+    "root": ("abs(a)", "CASE WHEN a < 0 THEN -b ELSE b END"),  # of the square of a + bi
+}
+
+
+@query(
+    "WITH s AS (SELECT s_suppkey::BIGINT AS i, s_acctbal::DOUBLE AS a, s_suppkey + 1.0 AS b, s_nationkey - 7.0 AS c, s_suppkey % 5 + 0.5 AS d FROM supplier) SELECT i, "
+    + ", ".join(f"round(({re})::DOUBLE, 4) + 0.0 AS {name}_re, round(({im})::DOUBLE, 4) + 0.0 AS {name}_im" for name, (re, im) in _COMPLEX_PARTS.items())
+    + ", round(sqrt(a * a + b * b), 4) AS size FROM s"
+)
 def fun_complex(spark: SparkSession, d: str) -> DataFrame:
-    s = fx.table(spark, d, "supplier")
-    a, b = cx.complex_of(F.col("s_acctbal"), F.col("s_suppkey")), cx.complex_of(F.col("s_nationkey").cast("double"), F.lit(1.0))
-    # a times conj(b), with the parts that b's imaginary unit gives: checked against plain arithmetic
-    product = cx.multiply(a, cx.conjugate(b))
-    half = cx.complex_of(product["re"], product["im"] - F.col("s_acctbal") - F.col("s_suppkey") * F.col("s_nationkey") * 0.5)
-    root = cx.square_root(cx.multiply(a, a))
-    return s.select(F.col("s_suppkey").cast("bigint").alias("i"), (F.round(half["re"], 4) + 0.0).alias("re"), (F.round(half["im"], 4) + 0.0).alias("im"), F.round(cx.modulus(root), 4).alias("size"))
+    """(a + bi) with (c + di): every function on its own."""
+    key = F.col("s_suppkey")
+    s = fx.table(spark, d, "supplier").select(key.cast("bigint").alias("i"), cx.complex_of(F.col("s_acctbal"), key + 1.0).alias("x"), cx.complex_of(F.col("s_nationkey") - 7.0, key % 5 + 0.5).alias("y"))
+    x, y = F.col("x"), F.col("y")
+    made = {"product": cx.multiply(x, y), "quotient": cx.divide(x, y), "total": cx.add(x, y), "conjugate": cx.conjugate(x), "root": cx.square_root(cx.multiply(x, x))}
+    parts = [(F.round(c[part], 4) + 0.0).alias(f"{name}_{part}") for name, c in made.items() for part in ("re", "im")]
+    return s.select("i", *parts, F.round(cx.modulus(x), 4).alias("size"))
 
 
 # ---------------------------------------------------------------- blocks
@@ -349,7 +362,10 @@ def lu_logdet(spark: SparkSession, d: str) -> DataFrame:
     return factor.log_determinant(factor.factor(m.entries, grid), grid).select(_r("logdet"), "sign")
 
 
-@query(f"WITH {fx.HIERARCHY_SQL} SELECT count(*) > 0 AS small, round(0.0 * count(*), 9) AS error FROM m")
+@query(
+    f"{_LU_HIERARCHY}, ue AS (SELECT i, sum(v) AS v FROM lu WHERE i <= j GROUP BY i), le AS (SELECT l.i, sum(l.v * ue.v) AS v FROM lu l JOIN ue ON ue.i = l.j WHERE l.i > l.j GROUP BY l.i), ae AS (SELECT i, sum(v) AS v FROM m GROUP BY i), "
+    "e AS (SELECT sqrt(sum(power(ue.v + coalesce(le.v, 0) - ae.v, 2))) / sqrt(sum(ae.v * ae.v)) AS error FROM ae JOIN ue USING (i) LEFT JOIN le USING (i)) SELECT error < 1e-12 AS small, round(error, 9) + 0.0 AS error FROM e"
+)
 def lu_check(spark: SparkSession, d: str) -> DataFrame:
     checked = _solver(fx.hierarchy(spark, d)).factor().check()
     return checked.select((F.col("error") < 1e-12).alias("small"), (F.round("error", 9) + 0.0).alias("error"))
@@ -387,7 +403,7 @@ def solve_full(spark: SparkSession, d: str) -> DataFrame:
     return _solver(fx.hierarchy(spark, d)).factor().solve(fx.account_rhs(spark, d)).select("i", _r("v"))
 
 
-@query(f"SELECT r.i, 1.0::DOUBLE AS v FROM range({fx.HIERARCHY_N}) AS r(i)")
+@query(_gauss_jordan(fx.HIERARCHY_SQL, fx.HIERARCHY_N, "SELECT i, sum(v) AS v FROM m GROUP BY i"))
 def solve_row_sums(spark: SparkSession, d: str) -> DataFrame:
     m = fx.hierarchy(spark, d)
     return _solver(m).factor_solve(ones_rhs(m.entries)).select("i", _r("v"))
@@ -447,22 +463,25 @@ def _ordering_query(method: str):
         return symbolic.fill(moved.pattern(), m.n).agg(F.count("*").alias("nnz_l"), F.count_distinct("j").alias("columns"))
 
     run.__name__ = f"ord_{method}_fill"
-    # the tree of regions, nations and suppliers fills not at all when leaves go first
-    query(f"WITH {fx.HIERARCHY_SQL} SELECT count(*) FILTER (i >= j) AS nnz_l, {fx.HIERARCHY_N} AS columns FROM m" if method == "mindegree" else None)(run)
+    # the trees of regions, nations and suppliers fill not at all when children go before parents
+    query(f"WITH {fx.HIERARCHY_SQL} SELECT count(*) FILTER (i >= j) AS nnz_l, {fx.HIERARCHY_N} AS columns FROM m")(run)
 
 
 for _method in ("rcm", "mindegree", "nd"):
     _ordering_query(_method)
 
 
-@query(f"WITH {fx.CO_SUPPLY_SQL} SELECT r.i FROM range((SELECT count(*) FROM supplier)) AS r(i)")
+# a dominant matrix has the largest product on its diagonal, which is moved two columns on
+@query(f"WITH {fx.CO_SUPPLY_SQL}, n AS (SELECT count(*) AS n FROM supplier) SELECT r.i, (r.i + 2) % n AS \"column\", (SELECT count(*) FROM m WHERE m.i = r.i) AS entries, 1.0::DOUBLE AS most, 1.0::DOUBLE AS own FROM n, range((SELECT count(*) FROM supplier)) AS r(i)")
 def ord_matching(spark: SparkSession, d: str) -> DataFrame:
-    """Rows whose match and scales hold: a dominant matrix keeps its diagonal, scaled to 1, over all others."""
+    """Each row's column, and of its scaled entries the largest modulus and that of the match."""
     m = fx.co_supply(spark, d)
-    match = ordering.matching(m)
+    moved = SparseMatrix(m.entries.select("i", ((F.col("j") + 2) % m.n).alias("j"), "v"), m.n)
+    match = ordering.matching(moved)
     rows, cols = match.select("i", F.col("row_scale").alias("s")), match.select("i", F.col("column_scale").alias("s"))
-    scaled = m.scale(rows, cols).entries.groupBy("i").agg(F.max(F.abs("v")).alias("most"), F.max(F.when(F.col("i") == F.col("j"), F.col("v"))).alias("own"))
-    return match.filter("i = column").join(scaled, "i").filter("most <= 1 + 1e-9 and abs(own - 1) < 1e-9").select("i")
+    scaled = moved.scale(rows, cols).entries.join(match.select("i", "column"), "i")
+    size = F.abs("v")
+    return scaled.groupBy("i", "column").agg(F.count("*").alias("entries"), F.round(F.max(size), 9).alias("most"), F.round(F.max(F.when(F.col("j") == F.col("column"), size)), 9).alias("own"))
 
 
 # ---------------------------------------------------------------- files
