@@ -40,6 +40,30 @@ def rank_load(blocks: DataFrame, processes: int) -> DataFrame:
     return owners(blocks, processes).groupBy("rank").agg(F.count("*").alias("blocks"), F.sum("nnz").alias("nnz"))
 
 
+def column_ranks(entries: DataFrame, n: int, nb: int, processes: int) -> DataFrame:
+    """`entries` plus the rank that has their column: contiguous chunks of whole rounds of the process grid's columns.
+
+    All ranks get equally many columns, but the last ones with columns may get fewer and those after them none.
+    """
+    width = _chunk(n, nb, processes)
+    return entries.withColumn("rank", F.floor(F.col("j") / width).cast("int"))
+
+
+def column_distribution(entries: DataFrame, n: int, nb: int, processes: int) -> DataFrame:
+    """(rank, first_column, columns, nnz) of `column_ranks`, for every rank."""
+    width = _chunk(n, nb, processes)
+    first, stop = (F.least(F.col("id") * width, F.lit(n)), F.least((F.col("id") + 1) * width, F.lit(n)))
+    ranks = entries.sparkSession.range(processes).select(F.col("id").cast("int").alias("rank"), first.alias("first_column"), (stop - first).alias("columns"))
+    nnz = column_ranks(entries, n, nb, processes).groupBy("rank").agg(F.count("*").alias("nnz"))
+    return ranks.join(nnz, "rank", "left").select("rank", "first_column", "columns", F.coalesce("nnz", F.lit(0)).alias("nnz"))
+
+
+def _chunk(n: int, nb: int, processes: int) -> int:
+    round_ = check_nb(nb) * process_grid(processes)[1]
+    rounds = -(-n // round_)
+    return -(-rounds // processes) * round_
+
+
 def updates(blocks: DataFrame) -> DataFrame:
     """(level, bi, bj): every Schur update that the block pattern has, of present destinations."""
     left = blocks.filter("bi > bj").select("bi", F.col("bj").alias("level"))

@@ -247,6 +247,18 @@ def blk_first_offdiag(spark: SparkSession, d: str) -> DataFrame:
     return blocks.first_after_diagonal(_sparse_blocks(spark, d))
 
 
+_CHUNK = f"(SELECT ((n + {NB // 4 * Q} - 1) // {NB // 4 * Q} + {PROCESSES} - 1) // {PROCESSES} * {NB // 4 * Q} AS w, n FROM (SELECT {fx.HIERARCHY_N} AS n))"
+
+
+@query(
+    f"WITH {fx.HIERARCHY_SQL}, c AS {_CHUNK} SELECT r.k::INTEGER AS rank, least(r.k * w, n)::BIGINT AS first_column, (least((r.k + 1) * w, n) - least(r.k * w, n))::BIGINT AS columns, "
+    f"(SELECT count(*) FROM m WHERE m.j >= r.k * w AND m.j < (r.k + 1) * w) AS nnz FROM c, range({PROCESSES}) AS r(k)"
+)
+def mat_column_distribution(spark: SparkSession, d: str) -> DataFrame:
+    m = fx.hierarchy(spark, d)
+    return blocks.column_distribution(m.entries, m.n, NB // 4, PROCESSES)
+
+
 # ---------------------------------------------------------------- symbolic
 
 # columns are eliminated one at a time: pairs of a column's rows below it become entries
@@ -301,6 +313,11 @@ work AS (SELECT CASE WHEN b = k THEN 'GETRF' ELSE 'TSTRF' END AS kernel, 1 AS n
 SELECT kernel, sum(n)::BIGINT AS flops FROM work"""
 
 
+@query(f"SELECT {fx.HIERARCHY_N} AS n, (WITH {fx.HIERARCHY_SQL} SELECT count(*) FROM m) AS nnz, ({_FILL} SELECT 2 * count(*) - {fx.HIERARCHY_N} FROM filled) AS nnz_factors, ({_FLOPS.replace('SELECT kernel, sum(n)', 'SELECT sum(n)')})::BIGINT AS flops")
+def sym_summary(spark: SparkSession, d: str) -> DataFrame:
+    return _solver(fx.hierarchy(spark, d)).summary()
+
+
 def _flop_query(kernel: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         return blocks.flops(_filled(spark, d), NB).filter(F.col("kernel") == kernel)
@@ -495,6 +512,53 @@ def io_mtx_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return mm.read_matrix(spark, path)
 
 
+def _written(spark: SparkSession, entries: DataFrame, n: int, **options) -> str:
+    path = f"{new_path(spark, 'mtx')}/m.mtx"
+    mm.write_mtx(entries, path, n, n, **options)
+    return path
+
+
+@query(f"WITH {fx.HIERARCHY_SQL} SELECT i, j, v FROM m")
+def io_mtx_symmetric(spark: SparkSession, d: str) -> DataFrame:
+    m = fx.hierarchy(spark, d)
+    return mm.read_matrix(spark, _written(spark, m.entries, m.n, symmetry="symmetric"))
+
+
+@query(f"WITH {fx.TRANSITIONS_SQL}, s AS (SELECT i, j, sum(v) AS v FROM (SELECT i, j, v FROM t UNION ALL SELECT j, i, -v FROM t) GROUP BY i, j) SELECT i, j, v FROM s WHERE v <> 0")
+def io_mtx_skew(spark: SparkSession, d: str) -> DataFrame:
+    t = fx.transitions(spark, d)
+    skew = t.union(t.select("j", "i", -F.col("v"))).groupBy("i", "j").agg(F.sum("v").alias("v")).filter("v <> 0")
+    return mm.read_matrix(spark, _written(spark, skew, fx.transition_matrix(spark, d).n, symmetry="skew-symmetric"))
+
+
+@query(f"WITH {fx.HIERARCHY_SQL} SELECT i, j, v AS re, sign(i - j) * 0.25::DOUBLE + 0.0 AS im FROM m")
+def io_mtx_hermitian(spark: SparkSession, d: str) -> DataFrame:
+    m = fx.hierarchy(spark, d)
+    im = F.signum(F.col("i") - F.col("j")) * 0.25
+    path = _written(spark, m.entries.select("i", "j", cx.complex_of(F.col("v"), im).alias("v")), m.n, symmetry="hermitian")
+    return mm.read_matrix(spark, path).select("i", "j", F.col("v.re").alias("re"), (F.col("v.im") + 0.0).alias("im"))
+
+
+@query(f"WITH {fx.TRANSITIONS_SQL} SELECT i, j, 1.0::DOUBLE AS v FROM t")
+def io_mtx_pattern(spark: SparkSession, d: str) -> DataFrame:
+    return mm.read_matrix(spark, _written(spark, fx.transitions(spark, d), fx.transition_matrix(spark, d).n, pattern=True))
+
+
+@query(f"WITH {fx.HIERARCHY_SQL} SELECT a.i, b.j, coalesce(m.v, 0)::DOUBLE AS v FROM range({fx.HIERARCHY_N}) AS a(i), range({fx.HIERARCHY_N}) AS b(j) LEFT JOIN m ON m.i = a.i AND m.j = b.j")
+def io_mtx_dense(spark: SparkSession, d: str) -> DataFrame:
+    m = fx.hierarchy(spark, d)
+    path = f"{new_path(spark, 'mtx')}/m.mtx"
+    mm.write_dense(m.entries, path, m.n, m.n)
+    return mm.read_matrix(spark, path)
+
+
+@query(f"WITH {fx.HIERARCHY_SQL} SELECT {fx.HIERARCHY_N} AS \"rows\", {fx.HIERARCHY_N} AS columns, count(*) FILTER (i >= j) AS stored, count(*) AS expanded, 'coordinate' AS format, 'real' AS field, 'symmetric' AS symmetry FROM m")
+def io_mtx_info(spark: SparkSession, d: str) -> DataFrame:
+    m = fx.hierarchy(spark, d)
+    info = mm.matrix_info(spark, _written(spark, m.entries, m.n, symmetry="symmetric"))
+    return spark.createDataFrame([tuple(info.values())], "rows bigint, columns bigint, stored bigint, expanded bigint, format string, field string, symmetry string")
+
+
 @query("SELECT 30 + s_suppkey::BIGINT AS row, s_acctbal AS v FROM supplier")
 def io_rhs_round_trip(spark: SparkSession, d: str) -> DataFrame:
     m = fx.hierarchy(spark, d)

@@ -157,19 +157,37 @@ def from_columns(spark: SparkSession, pointer: np.ndarray, rows: np.ndarray, val
     return made.select("i", "j", F.struct("re", "im").alias("v") if np.iscomplexobj(values) else F.col("re").alias("v"))
 
 
-def write_mtx(entries: DataFrame, path: str, rows: int, columns: int, stored: int | None = None) -> None:
-    """Write a general coordinate file: one part, banner and size line first."""
+def write_mtx(entries: DataFrame, path: str, rows: int, columns: int, stored: int | None = None, symmetry: str = "general", pattern: bool = False) -> None:
+    """Write a coordinate file: one part, banner and size line first.
+
+    Of a symmetric, hermitian or skew-symmetric matrix the lower half is written (of a
+    skew-symmetric one without the diagonal); the upper half isn't looked at.  A pattern
+    has no values.  `stored` is the number of entries written, counted where not given.
+    """
     complex_values = dict(entries.dtypes)["v"].startswith("struct")
     spark = entries.sparkSession
+    banner = f"%%MatrixMarket matrix coordinate {'pattern' if pattern else 'complex' if complex_values else 'real'} {symmetry}"
+    parse_banner(banner)
+    if symmetry != "general":
+        entries = entries.filter("i > j" if symmetry == "skew-symmetric" else "i >= j")
     stored = entries.count() if stored is None else stored
-    head = spark.createDataFrame([(0, f"%%MatrixMarket matrix coordinate {'complex' if complex_values else 'real'} general"), (1, f"{rows} {columns} {stored}")], "at bigint, value string")
+    head = spark.createDataFrame([(0, banner), (1, f"{rows} {columns} {stored}")], "at bigint, value string")
     number = lambda c: F.format_string("%.17g", c)
     value = F.concat_ws(" ", number(F.col("v.re")), number(F.col("v.im"))) if complex_values else number(F.col("v"))
-    lines = entries.select((F.lit(2) + F.col("j")).alias("at"), "i", F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1, value).alias("value"))
+    lines = entries.select((F.lit(2) + F.col("j")).alias("at"), "i", F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1, *([] if pattern else [value])).alias("value"))
     ordered = head.select("at", F.lit(0).cast("bigint").alias("i"), "value").union(lines).repartition(1).sortWithinPartitions("at", "i")
     ordered.select("value").write.text(path)
 
 
+def write_dense(entries: DataFrame, path: str, rows: int, columns: int) -> None:
+    """Write a general real dense (array) file, column after column: one part.  Absent entries are zeros."""
+    spark, k = entries.sparkSession, F.col("id")
+    head = spark.createDataFrame([(-2, "%%MatrixMarket matrix array real general"), (-1, f"{rows} {columns}")], "id bigint, value string")
+    places = spark.range(rows * columns).select("id", (k % rows).alias("i"), F.floor(k / rows).alias("j"))
+    lines = places.join(entries, ["i", "j"], "left").select("id", F.format_string("%.17g", F.coalesce("v", F.lit(0.0))).alias("value"))
+    head.union(lines).repartition(1).sortWithinPartitions("id").select("value").write.text(path)
+
+
 def read_rhs(spark: SparkSession, path: str, n: int | None = None, complex_values: bool = False) -> DataFrame:
     """(i, v) of a right-hand-side file: % comments, a length, then that many values."""
     raw = spark.read.format("binaryFile").load(path).select("content")
