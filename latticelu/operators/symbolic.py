@@ -1,72 +1,157 @@
 """Symbolic factorisation: elimination tree and fill of a symmetric pattern.
 
-Column elimination is a chain of set unions along the elimination tree, so it runs as
-one task (not on the driver) over the lower pattern, sorted by column and streamed.
-`MAX_FILL` bounds what that task may hold; beyond it the block pattern decides alone
-(`block_fill`), whose size does not depend on the number of entries.
+The fill of a column is its own rows and those of its children in the elimination tree.
+Small orders are filled in one task.  From `CUT_ORDER` columns on, the tree is found first
+(one task that holds three numbers a column and streams the entries), cut into subtrees
+of bounded weight, and each subtree is filled by a task of its own; what its root passes
+on goes to a last task with the columns above the cuts.  Columns arrive sorted and leave
+when they are done, so a task holds only rows that wait for a parent, never the fill.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_FILL = 50_000_000
+from ..storage import materialize
 
+#: Orders from which subtrees are filled in parallel, and pieces that the tree is cut into, about.
+CUT_ORDER = 200_000
+PIECES = 256
 
-def eliminate(columns: dict[int, np.ndarray], n: int, limit: int = MAX_FILL) -> Iterator[tuple[int, np.ndarray]]:
+
+def eliminate(columns: Iterable[tuple[int, np.ndarray]], waiting: dict[int, list[np.ndarray]] | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """(column, sorted rows from the diagonal down) of the filled pattern.
 
-    A column's fill is its own rows and those of its children in the elimination tree;
-    a column is a child of its first row below the diagonal.
+    `columns` come in ascending order, with every column that has rows or a child; a column
+    is a child of its first row below the diagonal.  What is left in `waiting` at the end
+    belongs to parents that were not among the columns.
     """
-    waiting: dict[int, list[np.ndarray]] = {}
-    total = 0
-    for j in range(n):
-        parts = [columns.pop(j, np.zeros(0, np.int64)), *waiting.pop(j, []), np.array([j], np.int64)]
-        rows = np.unique(np.concatenate(parts))
+    waiting = {} if waiting is None else waiting
+    for j, own in columns:
+        rows = np.unique(np.concatenate([own, *waiting.pop(j, []), np.array([j], np.int64)]))
         rows = rows[rows >= j]
-        total += len(rows)
-        if total > limit:
-            raise MemoryError(f"the fill has more than {limit} entries; use block_fill or another ordering")
         if len(rows) > 1:
             waiting.setdefault(int(rows[1]), []).append(rows[1:])
         yield j, rows
 
 
-def _fill(n: int, limit: int):
+def _columns(batches: Iterable[pa.RecordBatch], at: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(piece, column, rows) of batches sorted by both; `at` is the place of i, before j and piece."""
+    key, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        i, j, piece = (batch.column(at + k).to_numpy() for k in range(3))
+        cut = np.flatnonzero(np.r_[True, (j[1:] != j[:-1]) | (piece[1:] != piece[:-1])])
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(j)]):
+            own = (int(piece[a]), int(j[a]))
+            if own != key:
+                if key is not None:
+                    yield (*key, np.concatenate(held))
+                key, held = own, []
+            held.append(i[a:b])
+    if key is not None:
+        yield (*key, np.concatenate(held))
+
+
+_FILL = "i bigint, j bigint, passed boolean"
+
+
+def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fill of each piece; rows for columns outside the piece are `passed` on to them."""
+    rows, cols, flags, size = [], [], [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (rows, cols, flags)], ["i", "j", "passed"])
+
+    def filled() -> Iterator[tuple[int, np.ndarray, bool]]:
+        source = _columns(batches, 0)
+        ahead = next(source, None)
+
+        def piece_of(piece: int) -> Iterator[tuple[int, np.ndarray]]:
+            nonlocal ahead
+            while ahead is not None and ahead[0] == piece:
+                _, j, own = ahead
+                ahead = next(source, None)
+                yield j, own
+
+        while ahead is not None:
+            waiting: dict[int, list[np.ndarray]] = {}
+            for j, r in eliminate(piece_of(ahead[0]), waiting):
+                yield j, r, False
+            for j, lists in waiting.items():
+                for r in lists:
+                    yield j, r, True
+
+    for j, r, passed in filled():
+        rows.append(r)
+        cols.append(np.full(len(r), j, np.int64))
+        flags.append(np.full(len(r), passed))
+        size += len(r)
+        if size > 200_000:
+            yield batch()
+            rows, cols, flags, size = [], [], [], 0
+    if rows:
+        yield batch()
+
+
+def tree_pieces(low: DataFrame, n: int, pieces: int = PIECES) -> DataFrame:
+    """(j, piece) of the lower pattern `low` (i, j), i >= j: subtrees of the elimination tree with about 1/pieces of all entries, numbered by their root; -1 above them.
+
+    One task, over entries sorted by row: a row climbs from each of its columns to the
+    root it finds and becomes that root's parent, with shortened paths.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        i = np.concatenate([b.column(0).to_numpy() for b in held]) if held else np.zeros(0, np.int64)
-        j = np.concatenate([b.column(1).to_numpy() for b in held]) if held else np.zeros(0, np.int64)
-        order = np.argsort(j, kind="stable")
-        i, j = i[order], j[order]
-        cut = np.flatnonzero(np.r_[True, j[1:] != j[:-1]]) if len(j) else np.zeros(0, np.int64)
-        columns = dict(zip(j[cut].tolist(), np.split(i, cut[1:]))) if len(j) else {}
-        rows, cols, size = [], [], 0
-        for col, r in eliminate(columns, n, limit):
-            rows.append(r)
-            cols.append(np.full(len(r), col))
-            size += len(r)
-            if size > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(cols))], ["i", "j"])
-                rows, cols, size = [], [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(cols))], ["i", "j"])
-
-    return run
-
-
-def fill(pattern: DataFrame, n: int, limit: int = MAX_FILL) -> DataFrame:
+        parent, top = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+        weight = np.ones(n, np.int64)
+        for batch in batches:
+            j_all = batch.column(1).to_numpy()
+            np.add.at(weight, j_all, 1)
+            for i, j in zip(batch.column(0).to_pylist(), j_all.tolist()):
+                while j != -1 and j < i:
+                    above = int(top[j])
+                    top[j] = i
+                    if above == -1:
+                        parent[j] = i
+                    j = above
+        most = max(int(weight.sum()) // pieces, 1)
+        for j, up in enumerate(parent.tolist()):  # children come before their parents
+            if up >= 0:
+                weight[up] += weight[j]
+        piece = np.full(n, -1, np.int64)
+        for j in range(n - 1, -1, -1):
+            up = int(parent[j])
+            if up >= 0 and piece[up] >= 0:
+                piece[j] = piece[up]
+            elif weight[j] <= most:
+                piece[j] = j
+        for a in range(0, n, 1 << 16):
+            part = piece[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + len(part), dtype=np.int64)), pa.array(part)], ["j", "piece"])
+
+    return low.repartition(1).sortWithinPartitions("i", "j").mapInArrow(run, "j bigint, piece bigint")
+
+
+def fill(pattern: DataFrame, n: int, cut_order: int = CUT_ORDER, pieces: int = PIECES) -> DataFrame:
     """(i, j), i >= j: the filled lower pattern of a symmetric pattern, diagonal included."""
-    # the diagonal is added here so that the one partition is never empty
+    # with the diagonal every column has a row
     diagonal = pattern.sparkSession.range(n).select(F.col("id").alias("i"), F.col("id").alias("j"))
-    low = pattern.filter("i > j").select("i", "j").union(diagonal).repartition(1)
-    return low.mapInArrow(_fill(n, limit), "i bigint, j bigint")
+    low = pattern.filter("i > j").select(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j")).union(diagonal)
+    if n < cut_order:
+        whole = low.withColumn("piece", F.lit(0).cast("bigint")).repartition(1).sortWithinPartitions("j")
+        return whole.mapInArrow(_fill, _FILL).select("i", "j")
+    placed = materialize(low.join(materialize(tree_pieces(low, n, pieces), "pieces"), "j").select("i", "j", "piece"), "placed")
+    below = placed.filter("piece >= 0").repartition("piece").sortWithinPartitions("piece", "j")
+    done = materialize(below.mapInArrow(_fill, _FILL), "subtrees")
+    top = placed.filter("piece < 0").select("i", "j").union(done.filter("passed").select("i", "j"))
+    last = top.withColumn("piece", F.lit(-1).cast("bigint")).repartition(1).sortWithinPartitions("j").mapInArrow(_fill, _FILL)
+    return done.filter("not passed").select("i", "j").union(last.select("i", "j"))
 
 
 def elimination_tree(filled: DataFrame) -> DataFrame:
@@ -84,32 +169,19 @@ def symbolic_nnz(filled: DataFrame, n: int) -> DataFrame:
     return filled.agg((2 * F.count("*") - F.lit(n)).alias("nnz"))
 
 
-def block_fill(pairs: list[tuple[int, int]], blocks: int) -> list[tuple[int, int]]:
-    """The filled block pattern, lower and upper, of a symmetrised block pattern."""
-    columns: dict[int, list[int]] = {}
-    for a, b in pairs:
-        if a != b:
-            columns.setdefault(min(a, b), []).append(max(a, b))
-    out = []
-    for j, rows in eliminate({k: np.array(v, np.int64) for k, v in columns.items()}, blocks):
-        for r in rows.tolist():
-            out.append((r, j))
-            if r != j:
-                out.append((j, r))
-    return sorted(out)
-
-
-def level_sets(filled_blocks: list[tuple[int, int]], blocks: int) -> list[list[int]]:
-    """Block columns by height in the block elimination tree: a set's members are independent."""
-    parent: dict[int, int] = {}
-    for r, c in filled_blocks:
-        if r > c:
-            parent[c] = min(parent.get(c, r), r)
-    height = [0] * blocks
-    for c in range(blocks):
-        if c in parent:
-            height[parent[c]] = max(height[parent[c]], height[c] + 1)
-    sets: list[list[int]] = [[] for _ in range(max(height) + 1)]
-    for c, h in enumerate(height):
-        sets[h].append(c)
-    return sets
+def block_plan(blocks: DataFrame, count: int) -> tuple[DataFrame, list[int]]:
+    """Of a block pattern (bi, bj): the filled one, lower and upper (bi, bj, level), and the level of each block column.
+
+    A level holds the block columns of one height in the block elimination tree, which are
+    independent.  The driver sees the tree, one number a block column, never the pattern.
+    """
+    spark = blocks.sparkSession
+    both = blocks.select(F.greatest("bi", "bj").cast("bigint").alias("i"), F.least("bi", "bj").cast("bigint").alias("j")).distinct()
+    low = materialize(fill(both, count), "block-fill")
+    height = [0] * count
+    for j, parent in sorted(elimination_tree(low).select("j", "parent").toLocalIterator()):
+        height[parent] = max(height[parent], height[j] + 1)
+    level = spark.createDataFrame(list(enumerate(height)), "j bigint, level int")
+    placed = low.join(level, "j")
+    upper = placed.filter("i > j").select(F.col("j").cast("int").alias("bi"), F.col("i").cast("int").alias("bj"), "level")
+    return placed.select(F.col("i").cast("int").alias("bi"), F.col("j").cast("int").alias("bj"), "level").union(upper), height

@@ -38,7 +38,16 @@ def release(table: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def remove(spark: SparkSession, pattern: str) -> None:
+    """Delete the files and folders that a path pattern names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in fs.globStatus(path) or []:
+        fs.delete(found.getPath(), True)
+
+
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """`df` written and read again; stored by the values of the column `by`, if named."""
     path = f"{new_path(df.sparkSession, name)}/t"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
