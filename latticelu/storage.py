@@ -33,7 +33,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def release(table: DataFrame) -> None:
     """Delete the files of a table that `materialize` gave; it can't be read after that."""
     spark = table.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+    for folder in {f.rsplit("/t/", 1)[0] for f in table.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
