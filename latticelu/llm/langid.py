@@ -10,9 +10,10 @@ their 1 % quantile), since hash collisions alone give long texts of any script a
 that grows with their length; for n n-grams it is multiplied by n / (n + `FLOOR_GRAMS`), for
 few n-grams of a language score low too.
 
-Training reads at most `per_language` labelled rows a language (those with the least
-seeded hash of their id) of at most `max_languages` languages (those with most rows),
-which bounds what reaches the driver; prediction reads every text whole.
+Training reads at most `per_language` labelled rows of every language (those with the least
+seeded hash of their id; rows of one id and label count once, null ids too).  Each language
+is fitted in a task; the driver holds its centroids alone.  No language is left out: more than
+`max_languages` are an error.  Prediction reads every text whole.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import materialize
+
 DIMS = 4096
 _CHUNK = 1 << 20
 _MULT = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
@@ -98,18 +101,34 @@ def _k_means(x: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
     return centers.astype(np.float32)
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = 400, max_languages: int = 64, centroids: int = 4, seed: int = 11) -> Centroids:
+def _fit_language(rows: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, centroids: int, seed: int) -> tuple[np.ndarray, float | None]:
+    """(centroids, floor) of one language's (columns, counts); None for the floor of few rows."""
+    x = np.zeros((len(rows), DIMS), np.float32)
+    for i, (at, n) in enumerate(rows):
+        x[i, at] = n
+    x = np.stack([vector(r, idf) for r in x])
+    c = _k_means(x, centroids, seed)
+    return c, FLOOR_SHARE * float(np.quantile((x @ c.T).max(axis=1), 0.01)) if len(x) >= FLOOR_ROWS else None
+
+
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = 400, max_languages: int = 1024, centroids: int = 4, seed: int = 11) -> Centroids:
     """Fit on rows with a text and a label; others, and an empty table, add nothing."""
-    rows = labelled.filter(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
-    counts = rows.groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(max_languages).collect()
-    # a uniform hash of the id, cut so that about twice per_language rows of each language stay before they are ranked
-    place = F.xxhash64(F.lit(seed), id_col)
-    chance = F.coalesce(*[F.when(F.col(label_col) == name, F.lit(min(1.0, 2 * per_language / n + 64 / n))) for name, n in counts], F.lit(0.0))
-    drawn = rows.select(id_col, label_col).filter(place / F.lit(2.0**64) + 0.5 < chance)
-    order = Window.partitionBy(label_col).orderBy(place, id_col)
-    ids = drawn.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language)
-    # at most per_language * max_languages ids: a proven bound
-    few = rows.join(F.broadcast(ids.select(F.col(id_col).alias("_id")).distinct()), F.col(id_col) == F.col("_id"), "left_semi")
+    spark = labelled.sparkSession
+    rows = labelled.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text")).filter("text is not null and label is not null")
+    place = F.xxhash64(F.lit(seed), "id")
+    counts = rows.groupBy("label").agg(F.approx_count_distinct(place)).limit(max_languages + 1).collect()
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} languages; raise max_languages, at {centroids * DIMS * 4} bytes each")
+    if not counts:
+        return Centroids([], np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), [])
+    # a uniform hash of the id, cut so that about twice per_language ids of each language stay before they are ranked
+    chances = spark.createDataFrame([(name, min(1.0, 2 * per_language / n + 64 / n)) for name, n in counts], "label string, chance double")
+    drawn = rows.select("id", "label").join(F.broadcast(chances), "label").filter(place / F.lit(2.0**64) + 0.5 < F.col("chance")).select("id", "label").distinct()
+    order = Window.partitionBy("label").orderBy(place, "id")
+    ids = drawn.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language).select(F.col("id").alias("_id"), F.col("label").alias("_label"))
+    # at most per_language * max_languages ids: a proven bound; of an id's rows the least text stays
+    of_ids = rows.join(F.broadcast(ids), F.col("id").eqNullSafe(F.col("_id")) & (F.col("label") == F.col("_label")), "left_semi")
+    few = of_ids.groupBy("id", "label").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,24 +139,25 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
                 out.append((at.astype(np.int32), c[at]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a for a, _ in out], pa.list_(pa.int32())), pa.array([b for _, b in out], pa.list_(pa.int64()))], ["id", "label", "at", "n"])
 
-    got = few.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).alias("label"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, label string, at array<int>, n array<bigint>").toArrow()
-    got = got.sort_by([("label", "ascending"), ("id", "ascending")])
-    labels = got.column("label").to_pylist()
-    x = np.zeros((len(labels), DIMS), np.float32)
-    for i, (at, n) in enumerate(zip(got.column("at"), got.column("n"))):
-        x[i, at.values.to_numpy()] = n.values.to_numpy()
-    idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
-    x = np.stack([vector(r, idf) for r in x]) if len(x) else x
-    langs, centers, floors = [], [], []
-    for name in sorted(set(labels)):
-        own = x[[k for k, label in enumerate(labels) if label == name]]
-        c = _k_means(own, centroids, seed)
-        langs += [name] * len(c)
-        floors += [FLOOR_SHARE * float(np.quantile((own @ c.T).max(axis=1), 0.01)) if len(own) >= FLOOR_ROWS else None] * len(c)
-        centers.append(c)
-    least = min((f for f in floors if f is not None), default=0.0)
-    floors = [least if f is None else f for f in floors]
-    return Centroids(langs, np.concatenate(centers) if centers else np.zeros((0, DIMS), np.float32), idf, floors)
+    vectors = few.select(F.col("id").cast("bigint").alias("id"), "label", "text").mapInArrow(run, "id bigint, label string, at array<int>, n array<bigint>")
+    vectors = materialize(vectors, "language-vectors")
+    seen = np.zeros(DIMS, np.int64)
+    for r in vectors.select(F.explode("at").alias("at")).groupBy("at").count().collect():
+        seen[r["at"]] = r["count"]
+    idf = (np.log((1 + vectors.count()) / (1 + seen)) + 1).astype(np.float32)
+
+    def fit_one(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("id", kind="stable")
+        centers, floor = _fit_language(list(zip(pdf["at"], pdf["n"])), idf, centroids, seed)
+        return pd.DataFrame({"label": [pdf["label"].iloc[0]] * len(centers), "k": range(len(centers)), "center": [c.tobytes() for c in centers], "floor": [floor] * len(centers)})
+
+    got = vectors.groupBy("label").applyInPandas(fit_one, "label string, k int, center binary, floor double").collect()
+    got.sort(key=lambda r: (r["label"], r["k"]))
+    least = min((r["floor"] for r in got if r["floor"] is not None), default=0.0)
+    floors = [least if r["floor"] is None else r["floor"] for r in got]
+    return Centroids([r["label"] for r in got], np.stack([np.frombuffer(r["center"], np.float32) for r in got]), idf, floors)
 
 
 def classify(text: str | None, model: Centroids) -> tuple[str, float, bool]:

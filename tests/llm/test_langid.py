@@ -2,7 +2,7 @@ import numpy as np
 import random
 
 import pytest
-from latticelu.llm import langid
+from latticelu.llm import common, langid
 from pyspark.sql import functions as F
 
 
@@ -71,3 +71,22 @@ def test_chunks_change_nothing(monkeypatch):
         for t, (counts, letter) in zip(texts, whole):
             got = langid._counts(t)
             assert (got[0] == counts).all() and got[1] == letter
+
+
+def test_every_language_is_learned_and_too_many_are_an_error(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(9 * k + r, " ".join(letters[k % 26] + letters[(k // 26 + r) % 26] + letters[(7 * k) % 26] for _ in range(5)), f"l{k:03d}") for k in range(90) for r in range(2)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert set(langid.fit(df).languages) == {f"l{k:03d}" for k in range(90)}
+    with pytest.raises(ValueError):
+        langid.fit(df, max_languages=89)
+
+
+def test_repeated_and_null_ids_stay_within_the_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "materialize", lambda df, name: seen.append(materialized := common.materialize(df, name)) or materialized)
+    rows = [(7, f"the cat sat on mat {k}", "en") for k in range(500)] + [(None, "le chat noir", "fr")] * 300 + [(8, "der hund", "de"), (7, "der hund bellt", "de")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), per_language=3)
+    assert set(model.languages) == {"en", "fr", "de"}
+    assert sorted((r.id is None, r.id, r.label) for r in seen[0].filter("id is not null").collect()) == [(False, 7, "de"), (False, 7, "en"), (False, 8, "de")]
+    assert seen[0].filter("id is null").count() == 1
